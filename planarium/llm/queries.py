@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import dropout, simhash, token_counts
 from .common import prepare, read
 
 
@@ -14,5 +14,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(prepare(spark), sf_dir, "documents"))
+
+
+def op5_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropout.round_trip(read(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
+}
 ORACLES: dict[str, str] = {}
