@@ -23,9 +23,9 @@ from .components import components
 
 SEED = 42
 #: Fingerprints filed under one segment value that a task takes; a fuller one is split over a grid of tasks.
-BUCKET = 8192
+BUCKET = 2048
 #: Rows that a task holds, and pairs that it compares at once.
-TASK_ROWS, PAIRS = 1_000_000, 2_000_000
+TASK_ROWS, PAIRS = 1_000_000, 200_000
 #: Rows of hot segment values that may be broadcast (16 bytes each); beyond, they are joined by a shuffle.
 HOT_ROWS = 100_000
 
