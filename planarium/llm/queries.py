@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dropout, simhash, token_counts
+from . import dropout, kdtree, simhash, substrings, token_counts
 from .common import prepare, read
 
 
+def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(read(prepare(spark), sf_dir, "embeddings"), k=20, every=20)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,9 +26,28 @@ def op5_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.round_trip(read(prepare(spark), sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
+    "op1_kdtree_top_k": op1_kdtree_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
+    "op8_substring_dedup": op8_substring_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op1_kdtree_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
 }
-ORACLES: dict[str, str] = {}
