@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dropout, kdtree, simhash, substrings, token_counts
-from .common import prepare, read
+from . import chat, dropout, kdtree, simhash, substrings, token_counts
+from .common import prepare, read, written
 
 
 def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,18 +31,27 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    formatted = written(chat.format_chats(turns.unionByName(more)), "chats")
+    return chat.read_back(formatted)
+
+
 QUERIES = {
     "op1_kdtree_top_k": op1_kdtree_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op1_kdtree_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
@@ -50,4 +59,35 @@ ORACLES: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op8_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS seq FROM d, unnest(range(1, len(words) - 11)) AS t(i)
+        ), hit AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seq) AS least FROM w) WHERE least < doc_id
+        ), gone AS (
+            SELECT doc_id, list(DISTINCT i + k) AS gaps FROM hit, unnest(range(0, 13)) AS t(k) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, len(words) AS n_words, coalesce(len(gaps), 0) AS n_removed,
+                list_filter(words, lambda x, k: gaps IS NULL OR NOT list_contains(gaps, k)) AS stay
+            FROM d LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept
+    """,
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), s AS (
+            SELECT *, length(role) + length(text) + 9
+                + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>'))
+                + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')) AS chars FROM t
+        ), g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+            FROM s GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
 }
