@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dropout, kdtree, simhash, substrings, token_counts
+from . import chat, dropout, kdtree, language, simhash, substrings, token_counts
 from .common import prepare, read, written
 
 
@@ -18,6 +18,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(~language.held_out()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(prepare(spark), sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kdtree_top_k": op1_kdtree_top_k,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
     "op8_substring_dedup": op8_substring_dedup,
