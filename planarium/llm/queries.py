@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dropout, kdtree, language, quality, simhash, substrings, token_counts
+from . import chat, decontaminate, dropout, kdtree, language, quality, simhash, substrings, token_counts
 from .common import prepare, read, written
 
 
@@ -33,6 +33,11 @@ def op5_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.round_trip(read(prepare(spark), sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
+    "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_chat_format": op10_chat_format,
