@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding without loss.
 
-Merging runs over a heap of adjacent pairs. A pair that is popped is skipped if a hash of (seed, variant, run, left
-end, length) falls under the rate, so one seed always gives the same tokens and another seed others. Which of
-`variants` segmentations an occurrence of a run gets follows a hash of the seed, the document and the run's place, so
-the same word is cut in several ways within a corpus while a worker can still remember how. The space mark itself, if
-a text holds it, is spelled in bytes: decoding gives back every text exactly.
+Each run of text has an agenda of adjacent pairs that may merge, the lowest rank first and the leftmost among equals. A
+pair whose turn it is is skipped if a hash of (seed, variant, run, left end, length) falls under the rate, so one seed
+always gives the same tokens and another seed others. Which of `variants` segmentations a stretch of runs gets follows
+a hash of the seed, the document and the stretch's place: the same word is cut in several ways within a corpus while a
+worker can still remember how. The agendas of many runs advance side by side in numpy, one turn of each at a time. The
+space mark itself, if a text holds it, is spelled in bytes: decoding gives back every text exactly.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare
-from .pieces import MARK, Pieces, load
+from .pieces import MARK, Pieces, load, runs
 
-#: Segmentations that a worker remembers, and the longest run that it remembers.
-REMEMBERED, LONGEST = 300_000, 64
-_WIDE = (1 << 64) - 1
+#: Segmentations that a worker remembers; the longest run whose agenda advances beside others; how many do at once.
+REMEMBERED, LONGEST, ABREAST = 400_000, 32, 8192
+#: Runs of a document that share a variant.
+STRETCH = 64
+_NEVER = np.int32(2**31 - 1)
 #: Stands in for a mark that the text itself holds; no text can hold it.
 _OWN = "\ud800"
 
@@ -45,9 +48,8 @@ def cut(run: str, ranks: dict[str, int], rate: float, key: int) -> list[str]:
         if not x or not y or len(x) + len(y) != size:
             continue
         if under:
-            h = (key ^ (a * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) & _WIDE
-            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _WIDE
-            if (h >> 32) < under:
+            h = (key ^ (a << 7) ^ size) * 0x9E3779B1 & 0xFFFFFFFF
+            if ((h ^ h >> 15) * 0x85EBCA77 & 0xFFFFFFFF) < under:
                 continue
         x += y
         part[a], part[b] = x, ""
@@ -61,56 +63,186 @@ def cut(run: str, ranks: dict[str, int], rate: float, key: int) -> list[str]:
     return [x for x in part if x]
 
 
+class Pairs:
+    """Which piece two pieces side by side merge to, and its rank: a hash table probed for many pairs at once."""
+
+    def __init__(self, pieces: Pieces):
+        self.wide = pieces.size
+        rank = np.full(pieces.size, _NEVER, np.int32)
+        left, right, merged = [], [], []
+        for piece, k in pieces.ids.items():
+            rank[k] = pieces.ranks[piece]
+            for cut_ in range(1, len(piece)):
+                a, b = pieces.ids.get(piece[:cut_]), pieces.ids.get(piece[cut_:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    merged.append(k)
+        self.rank = np.append(rank, _NEVER)
+        keys = np.array(left, np.int64) * self.wide + np.array(right, np.int64)
+        self.mask = (1 << (len(keys) * 8).bit_length()) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.merged = np.full(self.mask + 1, self.wide, np.int32)  # the last rank: never
+        at, todo = self._slot(keys), np.arange(len(keys))
+        self.probes = 0
+        while len(todo):
+            free = self.keys[at[todo]] < 0
+            slot, one = np.unique(at[todo[free]], return_index=True)
+            put = todo[free][one]
+            self.keys[slot], self.merged[slot] = keys[put], np.array(merged, np.int32)[put]
+            todo = np.setdiff1d(todo, put)
+            at[todo] = (at[todo] + 1) & self.mask
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(36)).astype(np.int64) & self.mask
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged piece's id, or the number of pieces where there is none."""
+        key = left.astype(np.int64) * self.wide + right
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.merged[at], np.int32(self.wide))
+        open_ = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            hit = self.keys[at[open_]] == key[open_]
+            out[open_[hit]] = self.merged[at[open_[hit]]]
+            open_ = open_[~hit & (self.keys[at[open_]] >= 0)]
+        return out
+
+
+def advance(symbols: np.ndarray, keys: np.ndarray, pairs: Pairs, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, how many of them each row has) for rows of equally many symbols; the same merges as cut()."""
+    rows, n = symbols.shape
+    sym = np.concatenate([symbols, np.full((rows, 2), pairs.wide, np.int32)], 1).astype(np.int32)
+    after = np.tile(np.minimum(np.arange(1, n + 3), n + 1).astype(np.int16), (rows, 1))
+    before = np.tile(np.arange(-1, n + 1, dtype=np.int16), (rows, 1))
+    into = np.full((rows, n + 2), pairs.wide, np.int32)
+    into[:, : n - 1] = pairs.find(sym[:, : n - 1].ravel(), sym[:, 1:n].ravel()).reshape(rows, n - 1)
+    rank = pairs.rank[into]
+    alive = np.zeros((rows, n + 2), bool)
+    alive[:, :n] = True
+    under = np.uint32(int(rate * (1 << 32)) if rate < 1 else (1 << 32) - 1)
+    live = np.arange(rows)
+    while len(live):
+        a = rank[live].argmin(1)
+        go = rank[live, a] < _NEVER
+        live, a = live[go], a[go]
+        b = after[live, a]
+        c = after[live, b].astype(np.int64)
+        h = (keys[live] ^ (a.astype(np.uint32) << np.uint32(7)) ^ (c - a).astype(np.uint32)) * np.uint32(0x9E3779B1)
+        skip = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) < under
+        rank[live[skip], a[skip]] = _NEVER
+        r, a, b, c = live[~skip], a[~skip], b[~skip], c[~skip]
+        sym[r, a] = into[r, a]
+        alive[r, b] = False
+        rank[r, b] = _NEVER
+        after[r, a] = c
+        before[r, c] = a
+        p = before[r, a]
+        for at, left, right, good in ((a, a, c, c < n), (p, p, a, p >= 0)):
+            own, at, left, right = r[good], at[good], left[good], right[good]
+            merged = pairs.find(sym[own, left], sym[own, right])
+            into[own, at] = merged
+            rank[own, at] = pairs.rank[merged]
+        if len(end := np.flatnonzero(c >= n)):
+            rank[r[end], a[end]] = _NEVER
+    alive = alive[:, :n]
+    return sym[:, :n][alive], alive.sum(1)
+
+
+class Runs(dict):
+    """The number of each run under one variant; a new run gets the next and waits to be encoded."""
+
+    def __init__(self, waiting: list, variant: int):
+        super().__init__()
+        self.waiting, self.variant = waiting, variant
+
+    def __missing__(self, run: str) -> int:
+        self[run] = k = self.waiting[0]
+        self.waiting[0] += 1
+        self.waiting.append((run, self.variant))
+        return k
+
+
 class Encoder:
-    """Encodes texts; remembers the tokens of each run and variant in one flat array."""
+    """Encodes batches of texts; remembers the tokens of runs by variant in one flat array."""
 
     def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int):
-        self.pieces, self.rate, self.seed, self.variants = pieces, rate, seed, variants
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.mixed = np.uint64(xxhash.xxh64_intdigest(b"place", seed & _WIDE))
+        self.pieces, self.rate, self.seed, self.pairs = pieces, rate, seed, Pairs(pieces)
+        self.keys = [xxhash.xxh32_intdigest(b"%d/%d" % (seed, v)) for v in range(variants)]
+        self._forget()
 
-    def _run(self, run: str, variant: int) -> bytes:
-        ids, out = self.pieces.ids, []
-        key = xxhash.xxh64_intdigest(run.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & _WIDE)
+    def _forget(self) -> None:
+        self.waiting: list = [0]
+        self.known = [Runs(self.waiting, v) for v in range(len(self.keys))]
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _alone(self, run: str, key: int) -> list[int]:
+        out = []
         for x in cut(run, self.pieces.ranks, self.rate, key):
-            if (k := ids.get(x)) is not None:
+            if (k := self.pieces.ids.get(x)) is not None:
                 out.append(k)
             else:
                 out += [self.pieces.byte_ids[c] for c in (MARK if x == _OWN else x).encode()]
-        return np.array(out, np.int32).tobytes()
+        return out
+
+    def _learn(self) -> None:
+        """Encode the runs that wait."""
+        new, ids = self.waiting[1:], self.pieces.ids
+        del self.waiting[1:]
+        names = [r if r.startswith(MARK) else MARK + r for r, _ in new]
+        keys = np.array([xxhash.xxh32_intdigest(r.encode("utf-8", "surrogatepass"), self.keys[v]) for r, (_, v) in zip(names, new)], np.uint32)
+        length = np.array([len(r) if len(r) <= LONGEST else 0 for r in names])
+        size, parts, order = np.zeros(len(new), np.int64), [], []
+        for n in np.unique(length):
+            own = np.flatnonzero(length == n)
+            if n:
+                symbols = np.array(list(map(ids.get, "".join([names[k] for k in own]), [-1] * (len(own) * int(n)))), np.int32).reshape(-1, n)
+                plain = (symbols >= 0).all(1)
+                for at in range(0, int(plain.sum()), ABREAST):
+                    some = np.flatnonzero(plain)[at : at + ABREAST]
+                    found, size[own[some]] = advance(symbols[some], keys[own[some]], self.pairs, self.rate)
+                    parts.append(found)
+                    order.append(own[some])
+                own = own[~plain]
+            for k in own:
+                found = np.array(self._alone(names[k], int(keys[k])), np.int32)
+                size[k] = len(found)
+                parts.append(found)
+                order.append(np.array([k]))
+        placed = np.concatenate(order)
+        start = np.zeros(len(new), np.int64)
+        start[placed] = np.cumsum(size[placed]) - size[placed] + len(self.flat)
+        self.flat = np.concatenate([self.flat, *parts])
+        self.start, self.size = np.r_[self.start, start], np.r_[self.size, size]
+
+    def batch(self, texts: list[str], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all texts, where each text's end)."""
+        if self.waiting[0] > REMEMBERED:
+            self._forget()
+        index: list[int] = []
+        ends = []
+        for text, doc in zip(texts, docs):
+            parts = runs(text.replace(MARK, _OWN) if MARK in text else text)
+            for at in range(0, len(parts), STRETCH):
+                known = self.known[xxhash.xxh32_intdigest(b"%d/%d/%d" % (self.seed, doc, at)) % len(self.known)]
+                index += map(known.__getitem__, parts[at : at + STRETCH])
+            ends.append(len(index))
+        if len(self.waiting) > 1:
+            self._learn()
+        own = np.array(index, np.int64)
+        size = self.size[own]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(own) else 0
+        at = np.arange(total) + np.repeat(self.start[own] - (upto - size), size)
+        return self.flat[at], np.r_[0, upto][ends]
 
     def text(self, text: str, doc: int) -> bytes:
-        """The token ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if MARK in text:
-            text = text.replace(MARK, _OWN)
-        parts = text.split(" ")
-        if "" in parts:  # runs of spaces stay with the word behind them
-            joined, spaces = [], 0
-            for k, x in enumerate(parts):
-                if x or k == len(parts) - 1:
-                    joined.append(MARK * (spaces + 1) + x)
-                    spaces = 0
-                else:
-                    spaces += 1
-            parts = joined
-        else:
-            parts = [MARK + x for x in parts]
-        with np.errstate(over="ignore"):
-            place = np.arange(len(parts), dtype=np.uint64) + np.uint64(doc & _WIDE) * np.uint64(0x9E3779B97F4A7C15)
-            place = (place ^ self.mixed) * np.uint64(0xBF58476D1CE4E5B9)
-            which = ((place ^ (place >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)) % np.uint64(self.variants)
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for pair in zip(parts, which.tolist()):
-            if (got := known.get(pair)) is None:
-                got = self._run(*pair)
-                if len(pair[0]) <= LONGEST:
-                    known[pair] = got
-            out.append(got)
-        return b"".join(out)
+        """One text's token ids as little-endian 32-bit integers."""
+        return self.batch([text], [doc])[0].tobytes()
 
 
 class Decoder:
@@ -143,10 +275,10 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 17, variants: int = 4
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                docs, texts = batch.column(0), batch.column(1)
-                found = [encoder.text(texts[i].as_py() or "", docs[i].as_py() or 0) for i in range(len(batch))]
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                docs, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+                found, ends = encoder.batch(texts, [x or 0 for x in docs.to_pylist()])
+                ends = np.r_[0, ends]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
                 yield pa.record_batch([docs, ids, pa.array(np.diff(ends), pa.int64())], ["doc_id", "token_ids", "n_tokens"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, token_ids array<int>, n_tokens long")
@@ -185,13 +317,13 @@ def round_trip(docs: DataFrame, rate: float = 0.1, seed: int = 17, variants: int
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                docs, texts = batch.column(0), batch.column(1)
-                found = [encoder.text(texts[i].as_py() or "", docs[i].as_py() or 0) for i in range(len(batch))]
-                back = [decoder.text(np.frombuffer(x, np.int32)) for x in found]
+                docs, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+                found, ends = encoder.batch(texts, [x or 0 for x in docs.to_pylist()])
+                ends = np.r_[0, ends]
+                back = [decoder.text(found[a:b]) for a, b in zip(ends, ends[1:])]
                 digests = [hashlib.sha256(x.encode()).hexdigest() for x in back]
-                same = [x == (texts[i].as_py() or "") for i, x in enumerate(back)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                same = [x == y for x, y in zip(back, texts)]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
                 yield pa.record_batch([docs, ids, pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array(same)], ["doc_id", "token_ids", "n_tokens", "text_sha256", "lossless"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, token_ids array<int>, n_tokens long, text_sha256 string, lossless boolean")

@@ -1,5 +1,7 @@
+import functools
 import hashlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -10,6 +12,11 @@ from planarium.llm import dropout, pieces, token_counts
 TEXTS = [None, "", " ", "  ", "a", "Hello  world ", "   three   spaces", "▁ mark▁▁", "<s> </s> <unk> <0x0A>", "tab\tnew\nline\r\n", "数字 漢字 ελληνικά 🙂🙂", "x" * 3000, "1234567 890", "word " * 500, "\x00\x7f "]
 
 
+@functools.cache
+def encoder(rate):
+    return dropout.Encoder(pieces.load(), rate, 5, 4)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
@@ -33,9 +40,7 @@ def test_any_text(text):
     model = pieces.load()
     assert token_counts.Counts(model.ranks).of(text) == len(library.encode(text))
     for rate in (0.0, 0.3, 1.0):
-        import numpy as np
-
-        ids = np.frombuffer(dropout.Encoder(model, rate, 5, 4).text(text, 9), np.int32)
+        ids = np.frombuffer(encoder(rate).text(text, 9), np.int32)
         assert dropout.Decoder(model).text(ids) == text
         if "▁" not in text:
             assert library.decode(ids.tolist()) == text
@@ -43,6 +48,22 @@ def test_any_text(text):
                 assert ids.tolist() == library.encode(text)
 
 
+def test_agendas_side_by_side_merge_as_one_alone(model):
+    import random
+
+    r = random.Random(2)
+    words = ["▁" + "".join(r.choices("theraniongsdé.", k=r.randint(1, 31))) for _ in range(2000)] + ["▁" * 16, "▁" * 9 + "the"]
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        encoder = dropout.Encoder(model, rate, 3, 1)
+        for w in words:
+            encoder.known[0][w]
+        encoder._learn()
+        for k, w in enumerate(words):
+            key = dropout.xxhash.xxh32_intdigest(w.encode(), encoder.keys[0])
+            at = encoder.known[0][w]
+            assert encoder.flat[encoder.start[at] : encoder.start[at] + encoder.size[at]].tolist() == encoder._alone(w, key), (rate, w)
+
+
 def test_seeds_vary(model):
     text = "the tokenization of several words varies between seeds " * 5
     cuts = {dropout.Encoder(model, 0.2, seed, 4).text(text, 1) for seed in range(5)}
