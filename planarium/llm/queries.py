@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, dropout, kdtree, language, quality, simhash, substrings, token_counts
+from . import chat, decontaminate, dropout, kdtree, language, quality, simhash, substrings, token_counts, warc
 from .common import prepare, read, written
 
 
@@ -33,6 +33,13 @@ def op5_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropout.round_trip(read(prepare(spark), sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    _, directory = warc.write(pages)
+    captures = warc.lookup(directory, warc.keys_of(pages))
+    return warc.records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
@@ -63,6 +70,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece_dropout": op5_sentencepiece_dropout,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
