@@ -7,8 +7,8 @@ and what travels between them is one entry for each bucket and hash, however oft
 1. anchors meet in shards; those of two or more documents go back to their buckets;
 2. the windows at such anchors meet in shards; those of two or more documents are confirmed and go back, with the
    smallest doc_id, to the buckets where they have to be removed;
-3. each bucket compiles its confirmed windows to Aho-Corasick automata over words, and all its documents stream
-   through them. Only what an automaton finds, word for word, is removed.
+3. each bucket compiles the passages that its confirmed windows make up to Aho-Corasick automata over words, and all
+   its documents stream through them. Only what an automaton finds, word for word, is removed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import prepare
 
 #: UTF-8 bytes of text to a bucket, and as much again in entries to a shard.
 BUCKET_BYTES = 8 << 20
-#: Windows to an automaton; their words must fit in the code points of a string.
-PATTERNS = 60_000
+#: Words to an automaton (at most 64 ** 3), and to one of its patterns.
+PATTERN_WORDS, STRETCH = 250_000, 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -176,26 +176,60 @@ def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
-def covered(words: list[list[bytes]], docs: np.ndarray, patterns: list[tuple[list[bytes], int]], window: int) -> list[np.ndarray]:
-    """For each document, which of its words lie in a pattern whose doc_id is smaller than its own."""
+def covered(words: list[list[bytes]], docs: np.ndarray, patterns: list[tuple[list[bytes], int]]) -> list[np.ndarray]:
+    """For each document, which of its words lie in a pattern whose doc_id is smaller than its own.
+
+    An automaton's nodes look their branches up one by one, so a word is three characters, each one of 64 of its own.
+    """
     out = [np.zeros(len(w) + 1, np.int64) for w in words]
-    for at in range(0, len(patterns), PATTERNS):
+    digits = [[chr(base + k) for k in range(64)] for base in (0x100, 0x200, 0x300)]
+    low = 0
+    while low < len(patterns):
         codes: dict[bytes, str] = {}
-        automaton = ahocorasick.Automaton()
-        for sequence, least in patterns[at : at + PATTERNS]:
+        automaton, taken = ahocorasick.Automaton(), 0
+        while low < len(patterns) and (not taken or taken + len(patterns[low][0]) <= PATTERN_WORDS):
+            sequence, least = patterns[low]
             for w in sequence:
                 if w not in codes:
-                    codes[w] = chr(k if (k := len(codes) + 2) < 0xD800 else k + 0x800)
-            automaton.add_word("".join([codes[w] for w in sequence]), least)
+                    k = len(codes)
+                    codes[w] = digits[0][k & 63] + digits[1][k >> 6 & 63] + digits[2][k >> 12]
+            automaton.add_word("".join([codes[w] for w in sequence]), (len(sequence), least))
+            taken += len(sequence)
+            low += 1
         automaton.make_automaton()
+        find = codes.get
         for own, sequence, doc in zip(out, words, docs.tolist()):
-            for end, least in automaton.iter("".join([codes.get(w, "\x01") for w in sequence])):
+            for end, (size, least) in automaton.iter("".join([find(w, "\x01\x01\x01") for w in sequence])):
                 if least < doc:
-                    own[end - window + 1] += 1
-                    own[end + 1] -= 1
+                    own[end // 3 - size + 1] += 1
+                    own[end // 3 + 1] -= 1
     return [np.cumsum(x[:-1]) > 0 for x in out]
 
 
+def passages(found: Windows, hit: np.ndarray, least: np.ndarray) -> list[tuple[list[bytes], int]]:
+    """The word sequences to remove: each run of confirmed windows with one first document, in overlapping stretches.
+
+    Stretches have STRETCH words (a shorter run has one stretch, its own length; the last one ends with the run), so
+    that periodic text gives few different ones, and each window of the run lies in one of them.
+    """
+    window = found.window
+    at = found.at[hit]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(least) != 0)
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(at)]) + window - 1
+    doc = np.searchsorted(found.starts, at[start], "right") - 1
+    step = max(1, STRETCH - window + 1)
+    out: dict[tuple, int] = {}
+    for d, a, n, first in zip(doc.tolist(), (at[start] - found.starts[doc]).tolist(), size.tolist(), least[start].tolist()):
+        words = found.words[d]
+        wide = max(STRETCH, window)
+        for low in range(a, a + max(1, n - window + 1), step):
+            low = max(a, min(low, a + n - wide))
+            out[tuple(words[low : min(low + wide, a + n)])] = first
+    return [(list(k), v) for k, v in out.items()]
+
+
 def _cut(text: str, words: list[bytes], gone: np.ndarray) -> tuple[str, str]:
     """The text without the words that go and the white space before them, and the hash of the words that stay."""
     stay = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
@@ -266,14 +300,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7) -> DataFr
                 keep = np.ones(len(hit), bool)
                 keep[wrong[~open_]] = False
                 hit, at = hit[keep], at[keep]
-            _, one = np.unique(at, return_index=True)
-            doc = np.searchsorted(found.starts, found.at[hit[one]], "right") - 1
-            # documents without words share a start with the next; the last of them is the one with words
-            for k, d in zip(one, doc):
-                low = int(found.at[hit[k]] - found.starts[d])
-                patterns.append((found.words[d][low : low + window], int(least[at[k]])))
+            later = least[at] < found.of[hit]
+            patterns = passages(found, hit[later], least[at[later]])
         known = np.array([x.is_valid for x in table.column("doc_id")], bool)
-        gone = covered(found.words, np.where(known, found.docs, np.iinfo(np.int64).min), patterns, window)
+        gone = covered(found.words, np.where(known, found.docs, np.iinfo(np.int64).min), patterns)
         kept, digest = [], []
         for text, words, g in zip(table.column("text"), found.words, gone):
             value = text.as_py()

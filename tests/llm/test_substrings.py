@@ -45,9 +45,10 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,patterns", [(1, 60000), (2, 5)])
-def test_against_plain(spark, monkeypatch, seed, patterns):
-    monkeypatch.setattr(substrings, "PATTERNS", patterns)
+@pytest.mark.parametrize("seed,words,stretch", [(1, 250_000, 64), (2, 100, 64), (3, 250_000, 14), (4, 250_000, 5)])
+def test_against_plain(spark, monkeypatch, seed, words, stretch):
+    monkeypatch.setattr(substrings, "PATTERN_WORDS", words)
+    monkeypatch.setattr(substrings, "STRETCH", stretch)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 1500)
     rows = made(seed)
     docs = spark.createDataFrame([(t, d, "r", 3) for d, t in rows], "text string, doc_id long, rest string, bucket int")
