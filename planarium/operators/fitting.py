@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +39,41 @@ def line_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by:
     return F.abs(bx * (y - ay) - by * (x - ax))
 
 
-def lines_through_pairs(points: DataFrame, keys: list[str], tag: str, x: str, y: str) -> DataFrame:
-    """(keys, i, j, ax, ay, bx, by): the line through every pair of a key's points; equal points make none."""
-    a = points.select(*keys, F.col(tag).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = points.select(*keys, F.col(tag).alias("j"), F.col(x).alias("cx"), F.col(y).alias("cy"))
-    pairs = a.join(b, keys).where("i < j")
-    dx, dy = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
-    size = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    return pairs.select(*keys, "i", "j", "ax", "ay", (dx / size).alias("bx"), (dy / size).alias("by")).where("bx is not null")
+def _best_line(x: np.ndarray, y: np.ndarray, within: float, block: int = 1 << 21) -> tuple[int, int, int] | None:
+    """(i, j, inliers) of the line through two of the points with most points near it; the first pair of equals."""
+    first, second = np.triu_indices(len(x), 1)
+    dx, dy = x[second] - x[first], y[second] - y[first]
+    size = np.sqrt(dx * dx + dy * dy)
+    good = np.flatnonzero(size > 0)
+    best = None
+    for at in range(0, len(good), step := max(1, block // max(1, len(x)))):
+        own = good[at : at + step]
+        i, bx, by = first[own], dx[own] / size[own], dy[own] / size[own]
+        near = np.abs(bx[:, None] * (y[None, :] - y[i][:, None]) - by[:, None] * (x[None, :] - x[i][:, None])) <= within
+        votes = near.sum(1)
+        k = int(votes.argmax())
+        if best is None or votes[k] > best[2]:
+            best = int(i[k]), int(second[own[k]]), int(votes[k])
+    return best
 
 
 def best_line(points: DataFrame, keys: list[str], tag: str, x: str, y: str, within: float) -> DataFrame:
     """(keys, i, j, inliers, share): of all lines through two of a key's points the one with most inliers; first wins.
 
-    Every pair is a hypothesis, so the result is the same each time. Keys' points are few by their meaning (one wall's
-    border); hypotheses meet points by key, and inliers are counted in the JVM before anything is shuffled again.
+    Every pair is a hypothesis, so the result is the same each time; points that are equal make none. A key's points are
+    few by their meaning (the border of one wall), so a key is one group, whose pairs are tried in blocks of bounded size.
     """
-    lines = lines_through_pairs(points, keys, tag, x, y)
-    met = lines.join(points.select(*keys, F.col(x).alias("px"), F.col(y).alias("py")), keys)
-    near = line_distance(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= within
-    counted = met.groupBy(*keys, "i", "j").agg(F.count_if(near).alias("inliers"), F.count("*").alias("n"))
-    best = F.max_by(F.struct("i", "j", "inliers", "n"), F.struct("inliers", -F.col("i"), -F.col("j")))
-    return counted.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.i", "b.j", "b.inliers", (F.col("b.inliers") / F.col("b.n")).alias("share"))
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"i {kinds[tag]}", f"j {kinds[tag]}", "inliers long", "share double"])
+
+    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(tag, kind="stable")
+        names = rows[tag].to_numpy()
+        found = _best_line(rows[x].to_numpy(float), rows[y].to_numpy(float), within)
+        out = [] if found is None else [(*key, names[found[0]], names[found[1]], found[2], found[2] / len(rows))]
+        return pd.DataFrame(out, columns=[*keys, "i", "j", "inliers", "share"])
+
+    return points.select(*keys, tag, x, y).groupBy(*keys).applyInPandas(step, schema)
 
 
 def extract_lines(points: DataFrame, keys: list[str], tag: str, x: str, y: str, within: float, rounds: int) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,30 +20,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, blocks: int = 8) -> DataFrame:
-    """Every row of left with every row of right, in a grid of blocks: a join on (row block, column block).
+def blocked(left: DataFrame, right: DataFrame, block: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: int = 2048) -> DataFrame:
+    """block(part of left, part of right) for every pair of parts of at most about `rows` rows: a search by brute force.
 
-    Neither side is broadcast, and no task holds more than one block of each: the shape of a search by brute force.
+    Parts are dealt by a hash of the first column. Neither side is broadcast, and no task holds more than a part of each.
     """
-    grid = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = lambda df: F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks)).cast("int")
-    a = left.withColumn("_i", own(left)).withColumn("_j", F.explode(grid))
-    b = right.withColumn("_j", own(right)).withColumn("_i", F.explode(grid))
-    return a.join(b, ["_i", "_j"]).drop("_i", "_j")
-
-
-def ratio_matches(queries: DataFrame, targets: DataFrame, ratio: float = 0.75, blocks: int = 4) -> DataFrame:
+    n, m = (max(1, math.ceil(df.count() / rows)) for df in (left, right))
+    own = lambda df, k: F.pmod(F.xxhash64(df.columns[0]), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("_i", own(left, n)).withColumn("_j", every(m))
+    b = right.withColumn("_j", own(right, m)).withColumn("_i", every(n))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(block, schema)
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table.column(column).combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _nearest_two(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(q_id, t_id, d) of the two right rows nearest to each left row by squared distance, ties to smaller ids."""
+    ids, other, near = [], [], []
+    if left.num_rows and right.num_rows:
+        right = right.sort_by("t_id")
+        q, t, names = _matrix(left, "q"), _matrix(right, "t"), right.column("t_id").to_numpy()
+        for k, one in zip(left.column("q_id").to_pylist(), q):
+            d = ((t - one) ** 2).sum(1)
+            best = np.argsort(d, kind="stable")[:2]
+            ids += [k] * len(best)
+            other += names[best].tolist()
+            near += d[best].tolist()
+    return pa.table([pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(near, pa.float64())], ["q_id", "t_id", "d"])
+
+
+def ratio_matches(queries: DataFrame, targets: DataFrame, ratio: float = 0.75) -> DataFrame:
     """(q_id, t_id, d1, d2): nearest targets by Euclidean distance that beat the second nearest by the ratio; ties to smaller ids.
 
-    Nearest and second nearest are aggregations with map-side combine: pairs are made in blocks and never shuffled.
+    Each block keeps two candidates a query; only those are shuffled for the final rank.
     """
-    pairs = blocked_pairs(queries.select("q_id", "q"), targets.select("t_id", "t"), blocks)
-    pairs = pairs.select("q_id", F.struct(squared_distance(F.col("q"), F.col("t")).alias("d"), "t_id").alias("m"))
-    best = pairs.groupBy("q_id").agg(F.min("m").alias("first"))
-    second = pairs.join(best, "q_id").where(F.col("m") > F.col("first")).groupBy("q_id").agg(F.min("m").alias("second"))
-    both = best.join(second, "q_id")
-    d1, d2 = F.sqrt("first.d"), F.sqrt("second.d")
-    return both.where(d1 < ratio * d2).select("q_id", F.col("first.t_id").alias("t_id"), d1.alias("d1"), d2.alias("d2"))
+    found = blocked(queries.select("q_id", "q"), targets.select("t_id", "t"), _nearest_two, "q_id long, t_id long, d double")
+    ranked = found.groupBy("q_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t_id"))), 1, 2).alias("m")).where(F.size("m") == 2)
+    d1, d2 = F.sqrt(F.col("m")[0]["d"]), F.sqrt(F.col("m")[1]["d"])
+    return ranked.where(d1 < ratio * d2).select("q_id", F.col("m")[0]["t_id"].alias("t_id"), d1.alias("d1"), d2.alias("d2"))
+
+
+def _best_products(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(q_id, t_id, score) of each row's best partner in the block, both ways, ties to smaller ids."""
+    rows: set = set()
+    if left.num_rows and right.num_rows:
+        left, right = left.sort_by("q_id"), right.sort_by("t_id")
+        a, b = left.column("q_id").to_numpy(), right.column("t_id").to_numpy()
+        score = _matrix(left, "q") @ _matrix(right, "t").T
+        to, fro = score.argmax(1), score.argmax(0)
+        rows = {(int(a[i]), int(b[j]), float(score[i, j])) for i, j in [*enumerate(to), *((i, j) for j, i in enumerate(fro))]}
+    out = list(zip(*rows)) or [(), (), ()]
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["q_id", "t_id", "score"])
+
+
+def mutual_matches(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q_id, t_id, score): pairs that are each other's best by inner product."""
+    found = blocked(queries.select("q_id", "q"), targets.select("t_id", "t"), _best_products, "q_id long, t_id long, score double")
+    return mutual(found, "q_id", "t_id", "score")
 
 
 def two_nearest(pairs: DataFrame, key: str, other: str, distance: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.numbers import fixed, ratio
+from ..functions.numbers import fixed
 from ..operators import matching as M
 from ..operators.graphs import connected_components as components_of
 from . import query
@@ -44,9 +44,7 @@ def knn2_ratio_match(embeddings: DataFrame) -> DataFrame:
     SELECT q_id, t_id, floor(x.score * 10000 + 0.5) / 10000 AS score FROM x JOIN y USING (q_id, t_id)
 """)
 def mutual_nearest(embeddings: DataFrame) -> DataFrame:
-    q, t = _sides(embeddings)
-    pairs = M.blocked_pairs(q, t, 4).select("q_id", "t_id", M.dot(F.col("q"), F.col("t")).alias("score"))
-    return M.mutual(pairs, "q_id", "t_id", "score").select("q_id", "t_id", fixed("score").alias("score"))
+    return M.mutual_matches(*_sides(embeddings)).select("q_id", "t_id", fixed("score").alias("score"))
 
 
 _GRID = "g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, p_retailprice AS v, p_size AS s FROM part)"
