@@ -93,8 +93,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 1
     length score alike and a word that marks bad texts outweighs any number of others. The shape's weights are free.
     Features of fewer than `seen` rows have no weight. There are `epochs` passes, and more until `blocks` steps are done.
     """
-    flat = np.concatenate(rows)
-    often = np.bincount(flat, minlength=SIZE) >= seen
+    times = np.zeros(SIZE, np.int32)
+    for row in rows:  # a row's features are distinct
+        times[row] += 1
+    often = times >= seen
     weights, sums = np.zeros(SIZE), np.full(SIZE, 1e-2)
     counts = np.bincount(grades, minlength=levels)
     below = np.cumsum(counts)[:-1] / counts.sum()
@@ -132,6 +134,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 1
     return Model(np.where(often, weights, 0).astype(np.float32), theta)
 
 
+def _slices(column: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary column without copies."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1]
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    for a, b in zip(ends.tolist(), ends[1:].tolist()):
+        yield whole[a:b]
+
+
 def grade(quality, toxic):
     """The graded rating of a label: 0 toxic, 1 poor, 2 good; null where either column is null."""
     return F.when(toxic != 0, 0).when((quality == 0) & toxic.isNotNull(), 1).when(quality.isNotNull() & toxic.isNotNull(), 2)
@@ -154,10 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             found = [features.of(batch.column(1)[k].as_py()).astype(np.int32) for k in range(len(batch))]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "grade", "features"])
 
-    table = arrow(rows.select("doc_id", "text", "grade"), step, "doc_id long, grade int, features binary").toPandas().sort_values(["doc_id", "grade", "features"])
-    if not len(table):
+    table = arrow(rows.select("doc_id", "text", "grade"), step, "doc_id long, grade int, features binary").toArrow()
+    if not table.num_rows:
         return None
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in table["features"]], table["grade"].to_numpy(np.int64), 3)
+    order = np.lexsort((table.column("grade").to_numpy(), table.column("doc_id").to_numpy()))
+    # the rows stay views of the table: about 2 kB each
+    views = [np.frombuffer(x, np.int32) for c in table.column("features").chunks for x in _slices(c)]
+    return fit([views[k] for k in order], table.column("grade").to_numpy()[order].astype(np.int64), 3)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
