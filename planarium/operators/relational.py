@@ -60,12 +60,18 @@ def number_distinct(df: DataFrame, value: Column, name: str = "group_id") -> Dat
 
 def scene_index(panos: DataFrame) -> DataFrame:
     """One JSON document: scenes with their floors, rooms and sorted files, and the totals."""
+
+    def nested(key: str, value: str) -> Column:
+        """A map from sorted keys; the values, being maps themselves, have no order of their own."""
+        by_key = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)), by_key))
+
     rooms = panos.groupBy("scene_id", "floor_id", "room_id").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    floors = rooms.groupBy("scene_id", "floor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("room_id", "files")))).alias("rooms"))
-    scenes = floors.groupBy("scene_id").agg(F.count("*").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("floor_id", "rooms")))).alias("floors"))
+    floors = rooms.groupBy("scene_id", "floor_id").agg(nested("room_id", "files").alias("rooms"))
+    scenes = floors.groupBy("scene_id").agg(F.count("*").alias("n"), nested("floor_id", "rooms").alias("floors"))
     whole = scenes.agg(
         F.count("*").alias("total_scenes"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_included_floors"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("scene_id", "floors")))).alias("scenes"),
+        nested("scene_id", "floors").alias("scenes"),
     )
     return whole.select(F.to_json(F.struct("total_scenes", "total_included_floors", "scenes")).alias("json"))

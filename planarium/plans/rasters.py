@@ -187,11 +187,11 @@ def _slic_sql(rounds: int) -> str:
             FROM s{k} s JOIN c{k} k ON s.pano = k.pano AND abs(s.r - k.r) <= 8 AND abs(s.c - k.c) <= 8 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY d, k.sp) = 1)""")
         ctes.append(f"""s{k + 1} AS (SELECT s.id, s.pano, s.r, s.c, s.l, s.a, s.b, CASE WHEN d.d < s.dist THEN d.sp ELSE s.sp END AS sp, CASE WHEN d.d < s.dist THEN d.d ELSE s.dist END AS dist FROM s{k} s LEFT JOIN d{k} d USING (id))""")
         ctes.append(f"c{k + 1} AS (SELECT pano, sp, avg(l) AS l, avg(a) AS a, avg(b) AS b, avg(r) AS r, avg(c) AS c FROM s{k + 1} WHERE sp > 0 GROUP BY ALL)")
-    return f"WITH {_PANO}, " + ", ".join(ctes) + f" SELECT pano, r AS row_, c AS col_, sp, floor(dist * 1000 + 0.5) / 1000 AS dist FROM s{rounds}"
+    return f"WITH {_PANO}, " + ", ".join(ctes) + f" SELECT pano, r AS row_, c AS col_, sp, CASE WHEN sp > 0 THEN floor(dist * 1000 + 0.5) / 1000 END AS dist FROM s{rounds}"
 
 
 @query(_slic_sql(3))
 def slic_iterations(part: DataFrame) -> DataFrame:
     pixels = panos(part).select("pano", "row", "col", (F.col("v") / 10).alias("l"), F.col("s").cast("double").alias("a"), (F.col("s") % 7).cast("double").alias("b"))
     found = R.slic(pixels, ["pano"], 50, 8, 3, 10.0)
-    return found.select("pano", F.col("row").alias("row_"), F.col("col").alias("col_"), "sp", fixed("dist", 3).alias("dist"))
+    return found.select("pano", F.col("row").alias("row_"), F.col("col").alias("col_"), "sp", F.when(F.col("sp") > 0, fixed("dist", 3)).alias("dist"))
