@@ -92,12 +92,12 @@ def bundle_problem(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     A header `cameras points observations`, then a line `camera point u v` for each observation, then nine numbers a
     camera (r1 r2 r3 t1 t2 t3 f k1 k2) and three a point, one on a line.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\n")).alias("at", "line"))
     fields = lines.select("at", F.split(F.trim("line"), r"\s+").alias("f"))
-    head = fields.where("at = 0").select(*(F.get("f", F.lit(k)).cast("int").alias(n) for k, n in enumerate(("n_cams", "n_pts", "n_obs"))))
+    head = fields.where("at = 0").select(*(F.get("f", F.lit(k)).try_cast("int").alias(n) for k, n in enumerate(("n_cams", "n_pts", "n_obs"))))
     body = fields.where("at > 0").crossJoin(F.broadcast(head))  # one row by the format
-    obs = body.where("at <= n_obs").select(*(F.get("f", F.lit(k)).cast(t).alias(n) for k, (n, t) in enumerate((("cam_id", "int"), ("pt_id", "int"), ("u", "double"), ("v", "double")))))
-    rest = body.where("at > n_obs").select((F.col("at") - F.col("n_obs") - 1).alias("k"), F.get("f", F.lit(0)).cast("double").alias("x"), "n_cams")
+    obs = body.where("at <= n_obs").select(*(F.get("f", F.lit(k)).try_cast(t).alias(n) for k, (n, t) in enumerate((("cam_id", "int"), ("pt_id", "int"), ("u", "double"), ("v", "double")))))
+    rest = body.where("at > n_obs").select((F.col("at") - F.col("n_obs") - 1).alias("k"), F.get("f", F.lit(0)).try_cast("double").alias("x"), "n_cams")
     cams = rest.where("k < 9 * n_cams").withColumn("j", F.expr("cast(k % 9 as int)")).groupBy(F.expr("cast(k div 9 as int)").alias("cam_id")).pivot("j", list(range(9))).agg(F.first("x"))
     cams = cams.toDF("cam_id", "r1", "r2", "r3", "t1", "t2", "t3", "f", "k1", "k2")
     past = rest.where("k >= 9 * n_cams").withColumn("k", F.expr("k - 9 * n_cams")).withColumn("j", F.expr("cast(k % 3 as int)"))
