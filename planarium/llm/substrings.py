@@ -83,8 +83,9 @@ class Windows:
         return least[self.at]
 
     def names(self, chosen: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits that name each window together."""
         at = self.at[chosen]
-        return _rolled(self.hashes, self.window, _B)[at], _rolled(self.hashes, self.window, _C)[at]
+        return _rolled(self.hashes, self.window, _B)[at], (_rolled(self.hashes, self.window, _C)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -138,7 +139,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards.setdefault(row.pop("shard"), []).append(row)
     for rows in shards.values():
         name = np.concatenate([np.frombuffer(r["name"], np.uint64) for r in rows])
-        check = np.concatenate([np.frombuffer(r["check"], np.uint64) for r in rows])
+        check = np.concatenate([np.frombuffer(r["check"], np.uint32) for r in rows])
         least = np.concatenate([_unplanes(r["least"]) for r in rows])
         most = least + np.concatenate([_unplanes(r["reach"]) for r in rows])
         bucket = np.repeat([r["bucket"] for r in rows], [len(r["name"]) // 8 for r in rows])
@@ -285,7 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7) -> DataFr
         found = Windows(table.column("text"), table.column("doc_id"), window, keep=True)
         patterns = []
         if replies.num_rows:
-            name, check = _joined(replies, "name", np.uint64), _joined(replies, "check", np.uint64)
+            name, check = _joined(replies, "name", np.uint64), _joined(replies, "check", np.uint32)
             least = np.concatenate([_unplanes(x.as_py()) for x in replies.column("least")])
             order = np.lexsort((check, name))
             name, check, least = name[order], check[order], least[order]
