@@ -88,6 +88,18 @@ ORACLES: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages
+        ), b AS (
+            SELECT *, array_to_string(list_transform(range(1, 41), lambda k: lpad(bin(strpos('0123456789abcdef', sha[k]) - 1), 4, '0')), '') AS bits FROM p
+        ), d AS (
+            SELECT *, array_to_string(list_transform(range(0, 32), lambda k: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[
+                1 + 16 * bits[5 * k + 1]::INT + 8 * bits[5 * k + 2]::INT + 4 * bits[5 * k + 3]::INT + 2 * bits[5 * k + 4]::INT + bits[5 * k + 5]::INT]), '') AS digest FROM b
+        )
+        SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> kept THEN kept END AS refers_to FROM d
+    """,
     "op8_substring_dedup": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
