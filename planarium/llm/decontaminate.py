@@ -1,8 +1,8 @@
 """Benchmark passages in training texts, copied, edited or paraphrased.
 
 Words are the lower-cased runs of word characters. Every item is known by its seeds, the n-grams that are rare for it:
-those with no higher document frequency in the corpus than the item's median one, so that an item that leaked into many
-documents keeps its seeds while common phrases lose theirs. A seed in a document proposes a place for the whole item;
+those with no higher document frequency in the corpus than COMMON times the item's median one, so that an item that
+leaked into many documents keeps its seeds while common phrases lose theirs. A seed in a document proposes a place for the whole item;
 Smith-Waterman alignment of the item with the words there gives the score. Alignments run side by side in numpy.
 """
 
@@ -22,6 +22,8 @@ from .common import arrow, prepare
 
 #: Words to a seed; scores of alignment; share of an item's best score from which a document holds it.
 SEED, MATCH, OTHER, GAP, LEAST = 3, 2, -1, -1, 0.5
+#: How many times an item's median document frequency its seeds may have.
+COMMON = 4
 #: Characters of benchmark text that are compiled and broadcast at once; a larger benchmark is taken in parts.
 PART = 32 << 20
 #: Cells of alignments that run side by side.
@@ -76,12 +78,12 @@ class Items:
         return numbers, at[hit], gram[hit]
 
     def choose(self, often: np.ndarray) -> None:
-        """Keep the seeds: of each item the n-grams up to its median document frequency."""
+        """Keep the seeds: of each item the n-grams up to COMMON times its median document frequency."""
         own = often[self.gram_of]
         keep = np.zeros(len(own), bool)
         for k in range(len(self.names)):
             at = np.flatnonzero(self.item_of == k) if len(self.names) < 2 else slice(*np.searchsorted(self.item_of, [k, k + 1]))
-            keep[at] = own[at] <= np.median(own[at])
+            keep[at] = own[at] <= COMMON * max(1, np.median(own[at]))
         order = np.argsort(self.gram_of[keep], kind="stable")
         gram, self.item_of, self.place_of = (x[keep][order] for x in (self.gram_of, self.item_of, self.place_of))
         self.first = np.searchsorted(gram, np.arange(len(self.grams) + 1))
