@@ -29,6 +29,6 @@ def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalogue, clouds, fitting, matching, rasters, scalars, sequences  # noqa: F401  each registers its queries
+    from . import catalogue, clouds, fitting, matching, rasters, scalars, sequences, signals  # noqa: F401  each registers its queries
 
     return QUERIES, ORACLES
