@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -183,3 +183,70 @@ def spread_points(polygons: DataFrame, keys: list[str], n: int, tries: int = 64,
     near = turned.join(centre, [*keys, "sector"]).withColumn("d", F.expr("pow(x - cx, 2) + pow(y - cy, 2)"))
     best = near.groupBy(*keys, "sector").agg(F.min_by(F.struct("x", "y"), F.struct("d", "i")).alias("p"))
     return best.select(*keys, "p.x", "p.y")
+
+
+def _axes(segments: list[np.ndarray], tolerance: float, margin: float) -> list[tuple[int, float]]:
+    """(axis, place) of each wall of a ring: axis 0 holds x, axis 1 holds y.
+
+    Walls are decided by how well their better axis fits, best first. One beside a decided wall turns against it, unless
+    the same axis fits it better by the margin.
+    """
+    middle = [np.median(s, axis=0) for s in segments]
+    fit = np.array([(np.abs(s - m) <= tolerance).mean(0) for s, m in zip(segments, middle)])
+    n, axis = len(segments), [-1] * len(segments)
+    for k in sorted(range(n), key=lambda k: (-fit[k].max(), k)):
+        near = {axis[(k - 1) % n], axis[(k + 1) % n]} - {-1}
+        best = int(fit[k, 1] > fit[k, 0])
+        turned = 1 - next(iter(near)) if len(near) == 1 else best
+        axis[k] = turned if fit[k, turned] + margin >= fit[k, 1 - turned] else 1 - turned
+    return [(a, float(m[a])) for a, m in zip(axis, middle)]
+
+
+def manhattan_walls(boundary: DataFrame, key: str, tolerance: float = 0.1, margin: float = 0.25) -> DataFrame:
+    """(key, seq, x, y): the corners of a room with walls along x or y, from its boundary's segments in ring order.
+
+    boundary has key, segment, col, x, y. Where two neighbours run along one axis, they become one wall if their places
+    are within the tolerance, and else a wall between them is put in where one segment ends and the next begins.
+    """
+    kind = dict(boundary.dtypes)[key]
+
+    def step(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [r.sort_values("col")[["x", "y"]].to_numpy(float) for _, r in rows.groupby("segment", sort=True)]
+        walls, k = _axes(parts, tolerance, margin), 0
+        while len(walls) > 1 and k < len(walls):
+            (a, p), (b, q) = walls[k], walls[(k + 1) % len(walls)]
+            if a == b and abs(p - q) <= tolerance:
+                j = (k + 1) % len(walls)
+                parts[k] = np.concatenate([parts[k], parts[j]])
+                walls[k] = a, float(np.median(parts[k][:, a]))
+                del walls[j], parts[j]
+                k -= j < k
+            else:
+                k += 1
+        out = []
+        for k, (a, p) in enumerate(walls):
+            j = (k + 1) % len(walls)
+            b, q = walls[j]
+            if a != b:
+                out.append((p, q) if a == 0 else (q, p))
+            elif len(walls) > 1:
+                cut = float((parts[k][-1, 1 - a] + parts[j][0, 1 - a]) / 2)
+                out += [(p, cut), (q, cut)] if a == 0 else [(cut, p), (cut, q)]
+        return pd.DataFrame([(group[0], i, x, y) for i, (x, y) in enumerate(out)], columns=[key, "seq", "x", "y"])
+
+    return boundary.select(key, "segment", "col", "x", "y").groupBy(key).applyInPandas(step, f"{key} {kind}, seq int, x double, y double")
+
+
+def corner_pixels(corners: DataFrame, key: str, floor: Column, height: int, width: int) -> DataFrame:
+    """corners (key, seq, x, y) with their pixels u, v on the image, numbered on from the leftmost one.
+
+    The camera is at the origin, the floor so far below it; columns and rows are at half pixels.
+    """
+    from pyspark.sql import Window
+
+    u = (F.atan2("x", "y") / (2 * math.pi) + 0.5) * width - 0.5
+    v = (F.atan2(floor, F.sqrt(F.expr("x * x + y * y"))) / math.pi + 0.5) * height - 0.5
+    seen = corners.withColumn("u", u).withColumn("v", v)
+    whole = Window.partitionBy(key)
+    first, n = F.min_by("seq", F.struct("u", "seq")).over(whole), F.count("*").over(whole)
+    return seen.withColumn("seq", F.pmod(F.col("seq") - first, n).cast("int"))

@@ -65,3 +65,31 @@ def test_outlines(spark):
     corners = spark.createDataFrame([(0.7, -0.4)], "u double, v double")
     once = walls.stretched(walls.stretched(corners, 2.0, 1.0), 0.5, 1.0).first()
     assert (once.u, once.v) == (pytest.approx(0.7), pytest.approx(-0.4))
+
+
+def boundary(corners, noise=0.0):
+    r = np.random.default_rng(5)
+    rows, col = [], 0
+    for s, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1])):
+        for t in np.linspace(0.02, 0.98, 30):
+            p = np.array(a) + (np.array(b) - a) * t + r.normal(0, noise, 2)
+            rows.append(("room", s, col, float(p[0]), float(p[1])))
+            col += 1
+    return rows
+
+
+def test_rooms_along_axes(spark):
+    schema = "k string, segment int, col int, x double, y double"
+    shape = [(-2.0, -2.0), (3.0, -2.0), (3.0, 1.0), (1.0, 1.0), (1.0, 4.0), (-2.0, 4.0)]
+    got = walls.manhattan_walls(spark.createDataFrame(boundary(shape, 0.01), schema), "k", 0.05).orderBy("seq").collect()
+    assert len(got) == 6
+    for x, y in shape:
+        assert min(math.hypot(r.x - x, r.y - y) for r in got) < 0.05
+    # a step that has no segment of its own is put in
+    rows = [("room", 0, k, 0.0 + k * 0.1, 0.0) for k in range(20)] + [("room", 1, 20 + k, 2.0 + k * 0.1, 0.5) for k in range(20)]
+    rows += [("room", 2, 40 + k, 4.0, 0.5 + k * 0.1) for k in range(20)] + [("room", 3, 60 + k, 4.0 - k * 0.2, 2.5) for k in range(20)] + [("room", 4, 80 + k, 0.0, 2.5 - k * 0.125) for k in range(20)]
+    got = walls.manhattan_walls(spark.createDataFrame(rows, schema), "k", 0.1).orderBy("seq").collect()
+    assert [(round(r.x, 2), round(r.y, 2)) for r in got] == [(1.95, 0.0), (1.95, 0.5), (4.0, 0.5), (4.0, 2.5), (0.0, 2.5), (0.0, 0.0)]
+    pixels = walls.corner_pixels(spark.createDataFrame([("a", 0, 1.0, 1.0), ("a", 1, -1.0, 1.0), ("a", 2, -1.0, -1.0), ("a", 3, 1.0, -1.0)], "k string, seq int, x double, y double"), "k", F.lit(1.5), 512, 1024).orderBy("seq").collect()
+    assert [round(r.u + 0.5) for r in pixels] == [128, 896, 640, 384]
+    assert all(256 < r.v < 512 for r in pixels)
