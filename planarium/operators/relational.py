@@ -52,10 +52,20 @@ def joined_names(df: DataFrame, keys: list[str], name: str, sep: str = ";") -> D
 
 
 def number_distinct(df: DataFrame, value: Column, name: str = "group_id") -> DataFrame:
-    """Each distinct value's rank, from 1. Distinct values are ranked, not rows, so no window holds the whole table."""
+    """(value, name): each distinct value's rank, from 1.
+
+    Values are sorted over ranges in parallel; a range's rows are numbered where they lie, and the counts of the ranges
+    before it, one row a range, are added. No task holds all values.
+    """
+    from .graphs import checkpointed
+
     values = df.select(value.alias("value")).distinct()
-    ranked = values.withColumn(name, F.row_number().over(Window.orderBy("value")))
-    return ranked
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = values.repartitionByRange(spread, "value").sortWithinPartitions("value").withColumn("_id", F.monotonically_increasing_id())
+    placed = checkpointed(ordered).withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").select("value", (F.col("_before") + F.col("_at") + 1).cast("int").alias(name))
 
 
 def scene_index(panos: DataFrame) -> DataFrame:
