@@ -3,6 +3,12 @@ import hashlib
 import pytest
 
 import corpus_pipeline as p
+from planarium.llm.near import RADIUS, fingerprint
+
+
+def _fingerprint(text):
+    low, high = fingerprint(text)
+    return (high & (1 << 64) - 1) << 64 | low & (1 << 64) - 1
 
 
 @pytest.fixture(scope="module")
@@ -26,13 +32,17 @@ def test_names_and_columns(steps):
 
 def test_each_stage_against_plain(spark, steps):
     from test_decontaminate import plain as align
+    from test_substrings import WORD
     from test_substrings import plain as cut
 
     from planarium.llm.decontaminate import words_of
 
     near, cleaned, clean = ({r.doc_id: r.text for r in s.collect()} for s in steps[2:5])
     want = {d: h for d, _, _, h in cut(list(near.items()))}
-    assert {d: hashlib.sha256(" ".join((t or "").encode().decode().split()).encode()).hexdigest() for d, t in cleaned.items()}.keys() == want.keys()
+    assert {d: hashlib.sha256(" ".join(WORD.findall(t or "")).encode()).hexdigest() for d, t in cleaned.items()} == want
+    assert any(cleaned[d] != t for d, t in near.items())
+    fps = {d: _fingerprint(t) for d, t in near.items()}
+    assert not any((a ^ b).bit_count() <= RADIUS for i, a in enumerate(fps.values()) for b in list(fps.values())[:i])
     bench = [words_of(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     for d, t in list(cleaned.items())[:40]:
         words = words_of(t)[:400]
