@@ -2,7 +2,6 @@ import json
 import zipfile
 
 import numpy as np
-import pytest
 
 from planarium.operators import relational
 from planarium.sources import files as S
