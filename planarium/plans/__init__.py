@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import importable
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +20,7 @@ def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
         names = fn.__code__.co_varnames[: fn.__code__.co_argcount]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             return fn(*(spark if n == "spark" else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names))
 
         QUERIES[fn.__name__] = run

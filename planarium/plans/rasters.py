@@ -48,7 +48,7 @@ def sphere_reproject(part: DataFrame) -> DataFrame:
     d AS (SELECT r, c, f, c - 15.5::DOUBLE AS x, -(r - 11.5::DOUBLE) AS y, f AS z FROM f),
     w AS (SELECT r, c, f, (atan2(x, z) / {_PI} + 1) / 2 * 512 AS u, (0.5 - asin(y / sqrt(x * x + y * y + z * z)) / {_PI}) * 256 AS v FROM d),
     b AS (SELECT *, (0.5 - v / 256) * {_PI} AS lat, (u / 512 * 2 - 1) * {_PI} AS lon FROM w)
-    SELECT r AS row_, c AS col_, {_f("u")} AS u, {_f("v")} AS v, {_f("f * cos(lat) * sin(lon) / (cos(lat) * cos(lon)) + 15.5", 3)} AS px, {_f("-f * sin(lat) / (cos(lat) * cos(lon)) + 11.5", 3)} AS py FROM b
+    SELECT r::INTEGER AS row_, c::INTEGER AS col_, {_f("u")} AS u, {_f("v")} AS v, {_f("f * cos(lat) * sin(lon) / (cos(lat) * cos(lon)) + 15.5", 3)} AS px, {_f("-f * sin(lat) / (cos(lat) * cos(lon)) + 11.5", 3)} AS py FROM b
 """)
 def persp_equirect_roundtrip(spark: SparkSession) -> DataFrame:
     g = R.grid(spark, 24, 32)
@@ -102,7 +102,7 @@ def bilinear_sample(part: DataFrame) -> DataFrame:
 
 @query(f"""
     WITH {_PANO}, t AS (SELECT i // 80 AS r2, i % 80 AS c2 FROM range(4800) AS x(i))
-    SELECT pano, r2 AS row_, c2 AS col_, (CASE WHEN greatest(s / 50.0, (1000 - v) / 100) > 0.5 THEN CASE WHEN s / 50.0 >= (1000 - v) / 100 THEN 1 ELSE 2 END ELSE 0 END)::INTEGER AS label
+    SELECT pano, r2::INTEGER AS row_, c2::INTEGER AS col_, (CASE WHEN greatest(s / 50.0, (1000 - v) / 100) > 0.5 THEN CASE WHEN s / 50.0 >= (1000 - v) / 100 THEN 1 ELSE 2 END ELSE 0 END)::INTEGER AS label
     FROM t JOIN g ON g.r = floor(r2 * 40 / 60)::INT AND g.c = floor(c2 * 50 / 80)::INT
 """)
 def nn_resize(part: DataFrame) -> DataFrame:
