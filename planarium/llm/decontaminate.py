@@ -1,9 +1,10 @@
 """Benchmark passages in training texts, copied, edited or paraphrased.
 
-Words are the lower-cased runs of word characters. Every item is known by its seeds, the n-grams that are rare for it:
-those with no higher document frequency in the corpus than COMMON times the item's median one, so that an item that
-leaked into many documents keeps its seeds while common phrases lose theirs. A seed in a document proposes a place for the whole item;
-Smith-Waterman alignment of the item with the words there gives the score. Alignments run side by side in numpy.
+Words are the lower-cased runs of word characters. Every n-gram of an item is a seed, however common it is: a seed in a
+document proposes a place for the whole item. A place is dropped only if its words cannot reach the score that is asked
+for: an item's word that is not there costs a mismatch or a gap, so the best run over the item's words, MATCH for each
+that is there and the smaller loss for each that is not, bounds every alignment. Smith-Waterman alignment of the item
+with the words of the other places gives the score. Alignments run side by side in numpy.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .common import arrow, prepare
 
 #: Words to a seed; scores of alignment; share of an item's best score from which a document holds it.
 SEED, MATCH, OTHER, GAP, LEAST = 3, 2, -1, -1, 0.5
-#: How many times an item's median document frequency its seeds may have.
-COMMON = 4
 #: Characters of benchmark text that are compiled and broadcast at once; a larger benchmark is taken in parts.
 PART = 32 << 20
 #: Cells of alignments that run side by side.
@@ -52,9 +51,11 @@ class Items:
             raise ValueError("seeds of so many words do not fit in a key")
         keys = [self.keys(w) for w in self.words]
         empty = [np.zeros(0, np.int64)]
-        self.grams, self.gram_of = np.unique(np.concatenate(keys + empty), return_inverse=True)
-        self.item_of = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int64)
-        self.place_of = np.concatenate([np.arange(len(k)) for k in keys] + empty)
+        self.grams, gram_of = np.unique(np.concatenate(keys + empty), return_inverse=True)
+        order = np.argsort(gram_of, kind="stable")
+        self.item_of = np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int64)[order]
+        self.place_of = np.concatenate([np.arange(len(k)) for k in keys] + empty).astype(np.int64)[order]
+        self.first = np.searchsorted(gram_of[order], np.arange(len(self.grams) + 1))
 
     def keys(self, numbers: np.ndarray) -> np.ndarray:
         """The key of each n-gram, 0 where a word is in no item."""
@@ -77,17 +78,6 @@ class Items:
         hit = self.grams[gram] == keys[at] if len(self.grams) else np.zeros(0, bool)
         return numbers, at[hit], gram[hit]
 
-    def choose(self, often: np.ndarray) -> None:
-        """Keep the seeds: of each item the n-grams up to COMMON times its median document frequency."""
-        own = often[self.gram_of]
-        keep = np.zeros(len(own), bool)
-        for k in range(len(self.names)):
-            at = np.flatnonzero(self.item_of == k) if len(self.names) < 2 else slice(*np.searchsorted(self.item_of, [k, k + 1]))
-            keep[at] = own[at] <= COMMON * max(1, np.median(own[at]))
-        order = np.argsort(self.gram_of[keep], kind="stable")
-        gram, self.item_of, self.place_of = (x[keep][order] for x in (self.gram_of, self.item_of, self.place_of))
-        self.first = np.searchsorted(gram, np.arange(len(self.grams) + 1))
-
 
 def align(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(best local score, where it starts, where it ends) of each row's item in each row's window of words.
@@ -120,8 +110,19 @@ def align(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> tuple[np
     return best // k, np.where(best > 0, k - 1 - best % k, 0), end
 
 
-def _score(items: Items, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, start, end) of the best place of each item in each text that holds one of its seeds."""
+def _bound(items: np.ndarray, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """No local alignment of a row's item with its window scores more: the best run of its words, by whether they are there."""
+    rows = np.arange(len(items))[:, None]
+    wide = int(max(items.max(initial=0), windows.max(initial=0))) + 3
+    there = np.isin(items + rows * wide + 2, windows + rows * wide + 2)
+    gain = np.where(there, MATCH, max(OTHER, GAP))
+    gain[np.arange(items.shape[1])[None, :] >= sizes[:, None]] = 0
+    upto = np.concatenate([np.zeros((len(items), 1), np.int64), gain.cumsum(1)], 1)
+    return (upto - np.minimum.accumulate(upto, 1)).max(1)
+
+
+def _score(items: Items, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, start, end) of the best place of each item in each text, where its score is `least` or more."""
     jobs: list[tuple[int, int, int]] = []  # text, item, start of its window
     words = []
     for k, text in enumerate(texts):
@@ -158,43 +159,27 @@ def _score(items: Items, texts: list[str | None]) -> list[tuple[int, int, float,
             left_side[r, : size[job]] = items.words[j]
             windows[r, : len(part)] = part
             begin.append(low)
+        begin = np.array(begin)
+        may = _bound(left_side, size[own], windows) >= least * MATCH * size[own]
+        own, begin, left_side, windows = own[may], begin[may], left_side[may], windows[may]
         found, first, last = align(left_side, size[own], windows)
         for r, job in enumerate(own.tolist()):
             k, j, _ = jobs[job]
-            new = (float(found[r]) / (MATCH * int(size[job])), begin[r] + int(first[r]), begin[r] + int(last[r]) + 1)
+            new = (float(found[r]) / (MATCH * int(size[job])), int(begin[r] + first[r]), int(begin[r] + last[r]) + 1)
             old = out.get((k, j))
             if old is None or (-new[0], new[1]) < (-old[0], old[1]):
                 out[k, j] = new
-    return [(k, j, *v) for (k, j), v in sorted(out.items())]
+    return [(k, j, *v) for (k, j), v in sorted(out.items()) if v[0] >= least]
 
 
 def _parts(docs: DataFrame, benchmark: DataFrame, n: int) -> Iterator[Items]:
-    """The benchmark, part by part, with its seeds chosen by document frequencies over all of docs."""
-    spark = prepare(docs.sparkSession)
+    """The benchmark, part by part."""
+    prepare(docs.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     parts = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / PART))
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else rows
-        items = Items([tuple(r) for r in own.collect()], n)
-        sent = spark.sparkContext.broadcast(items)
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
-            often = np.zeros(len(items.grams), np.int64)
-            for batch in batches:
-                for text in batch.column(0):
-                    gram = items.find(text.as_py() or "")[2]
-                    if len(gram):
-                        often[np.unique(gram)] += 1
-            at = np.flatnonzero(often)
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(often[at])], ["gram", "n"])
-
-        often = np.zeros(len(items.grams), np.int64)
-        if len(often):
-            for gram, n_docs in arrow(docs.select(F.col("text").cast("string")), step, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-                often[gram] = n_docs
-        items.choose(often)
-        yield items
+        yield Items([tuple(r) for r in own.collect()], n)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int = SEED) -> DataFrame:
@@ -215,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: i
                 for at in range(0, len(whole), 256):
                     batch = whole.slice(at, 256)
                     ids = batch.column(0).to_pylist()
-                    found = [r for r in _score(items, batch.column(1).to_pylist()) if r[2] >= least]
+                    found = _score(items, batch.column(1).to_pylist(), least)
                     columns = ([ids[r[0]] for r in found], [items.names[r[1]] for r in found], [round(r[2], 6) for r in found], [r[3] for r in found], [r[4] for r in found])
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -237,7 +222,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n:
                 for low in range(0, len(whole), 256):
                     batch = whole.slice(low, 256)
                     keep = np.ones(len(batch), bool)
-                    keep[[r[0] for r in _score(sent.value, batch.column(at).to_pylist()) if r[2] >= least]] = False
+                    keep[[r[0] for r in _score(sent.value, batch.column(at).to_pylist(), least)]] = False
                     yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(step, docs.schema)

@@ -73,3 +73,28 @@ def test_edited_copies(spark, monkeypatch, part):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([k for k, _ in docs if k not in bad] + [5000, 5001])
     assert d.find_leaks(table, bench.limit(0)).count() == d.find_leaks(table.limit(0), bench).count() == 0
     assert d.remove_leaks(table, bench.limit(0)).count() == table.count()
+
+
+def test_an_edited_copy_may_recur(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    edited, exact = (r.choices(vocab, k=40) for _ in range(2))
+    copy = [r.choice(vocab) if k % 4 == 1 else w for k, w in enumerate(edited[:28])] + edited[28:]
+    copy[30], copy[34], copy[37] = (r.choice(vocab) for _ in range(3))
+    assert 0.5 < plain(edited, copy) / 80 < 0.8
+    docs = [(k, " ".join(r.choices(vocab, k=20) + (copy if k < 1000 else exact) + r.choices(vocab, k=20))) for k in range(1001)]
+    docs += [(k, " ".join(r.choices(vocab, k=50) + edited[:6])) for k in range(2000, 2050)]
+    bench = spark.createDataFrame([(0, " ".join(edited)), (1, " ".join(exact))], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(k, 0) for k in range(1000)} | {(1000, 1)}
+    assert {(x.doc_id, x.item_id) for x in d.find_leaks(table, bench).collect()} == want
+    assert {x.doc_id for x in d.remove_leaks(table, bench).collect()} == set(range(2000, 2050))
+
+
+def test_no_alignment_is_over_its_bound():
+    r = random.Random(3)
+    rows = [([r.randint(1, 9) for _ in range(r.randint(3, 12))], [r.randint(0, 9) for _ in range(r.randint(1, 12))]) for _ in range(300)]
+    items, windows = np.full((300, 12), -1), np.full((300, 30), -2)
+    for k, (a, b) in enumerate(rows):
+        items[k, : len(a)], windows[k, : len(b)] = a, b
+    assert (d._bound(items, np.array([len(a) for a, _ in rows]), windows) >= [plain(a, b) for a, b in rows]).all()
