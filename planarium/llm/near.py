@@ -1,9 +1,13 @@
-"""Near-duplicates of the pipeline: SimHash over five-word shingles at a Jaccard similarity of about 0.8 or more.
+"""Near-duplicates of the pipeline: five-word shingles at a Jaccard similarity of 0.8 or more.
 
-Two sets of similarity J differ in a share acos(2 J / (1 + J)) / pi of SimHash bits, 15 % at 0.8. Fingerprints of 128
-bits over distinct shingles link where they differ in RADIUS bits or fewer. They are found by multi-index hashing over
-eight segments of 16 bits, each asked under all values one bit away or less: a pair that differs in 15 bits or fewer
-always meets, one at the radius almost always. Links are verified over all bits and reduced to forests as in simhash.
+Candidates come two ways. Fingerprints, SimHash of 128 bits over distinct shingles, link where they differ in RADIUS bits
+or fewer; two sets of similarity J differ in a share acos(2 J / (1 + J)) / pi of their bits, so of pairs at 0.8 this alone
+would miss a fifth. Links are found by multi-index hashing over eight segments of 16 bits, each asked under all values one
+bit away or less, and reduced to forests as in simhash. Besides, MinHashes of ROWS functions make a band, and sets that
+agree in one of BANDS bands are candidates: a pair at 0.8 has none with a chance of (1 - 0.8 ** 5) ** 24, 7 in 100,000.
+
+No candidate counts before it is verified: within each group of candidates, documents link only where the Jaccard
+similarity of their shingles is LEAST or more. A document is compared with all those that no link has reached so far.
 """
 
 from __future__ import annotations
@@ -25,18 +29,31 @@ from .simhash import BUCKET, HOT_ROWS, PAIRS, SEED, TASK_ROWS, forest
 #: Words to a shingle, differing bits of 128, bits to a segment.
 WORDS, RADIUS, WIDTH = 5, 22, 16
 _LANES = 2
+#: The similarity from which documents are near-duplicates; bands of MinHashes, and functions to a band.
+LEAST, BANDS, ROWS = 0.8, 24, 5
+_FLIP, _TIMES = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> tuple[int, int]:
-    """128 bits over the distinct shingles of the text, lower-cased in ASCII, as two signed longs; zeros without words."""
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of the text, lower-cased in ASCII, by their hashes in order; none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = list(itertools.accumulate([len(w) + 1 for w in found]))
     last = ends[words - 1 :] or ends[-1:]
     hashed = xxhash.xxh64_intdigest
-    values = np.unique(np.array([hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], last)], np.uint64))
+    return np.unique(np.array([hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], last)], np.uint64))
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> tuple[int, int]:
+    """128 bits over the distinct shingles of the text as two signed longs; zeros without words."""
+    return _simhash(shingles(text, words))
+
+
+def _simhash(values: np.ndarray) -> tuple[int, int]:
+    if not len(values):
+        return 0, 0
     other = (values ^ (values >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     other = (other ^ (other >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     bits = np.stack([values, other ^ (other >> np.uint64(32))], 1)
@@ -48,6 +65,18 @@ def fingerprint(text: str | None, words: int = WORDS) -> tuple[int, int]:
     return int(low), int(high)
 
 
+def bands(values: np.ndarray) -> np.ndarray:
+    """A key for each band of the shingles' MinHashes; none without shingles."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    values = values ^ (values >> np.uint64(32))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 1024):
+        mixed = (values[at : at + 1024, None] ^ _FLIP) * _TIMES
+        np.minimum(least, ((mixed ^ (mixed >> np.uint64(29))) * _TIMES).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
 def _file(classes: DataFrame, ball: int) -> DataFrame:
     """(key, node, low, high, filed): a row under each segment value, and one under each larger value in its ball."""
     masks = np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(WIDTH), n)], np.uint64)
@@ -116,6 +145,39 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(radius, batches), "a long, b long")
 
 
+def linked(names: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """For each set the smallest name reachable over pairs of a Jaccard similarity of `least` or more; equal names link."""
+    order = np.argsort(names, kind="stable")
+    size = np.array([len(x) for x in sets], np.int64)[order]
+    values, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    names, root = names[order], np.full(len(order), -1)
+    start = np.cumsum(size) - size
+    left, held = np.arange(len(order)), np.zeros(len(values), np.int64)
+    while len(left):
+        first, left = left[0], left[1:]
+        root[first], queue = first, [first]
+        flat_left, size_left = flat[start[first] + size[first] :], size[left]
+        while queue and len(left):
+            one = queue.pop()
+            own = flat[start[one] : start[one] + size[one]]
+            held[own] = 1
+            upto = np.r_[0, held[flat_left].cumsum()]
+            held[own] = 0
+            ends = size_left.cumsum()
+            both = upto[ends] - upto[ends - size_left]
+            hit = (both >= least * (size[one] + size_left - both) - 1e-9) | (names[left] == names[one])
+            if hit.any():
+                root[left[hit]] = first
+                queue += left[hit].tolist()
+                flat_left = flat_left[np.repeat(~hit, size_left)]
+                left, size_left = left[~hit], size_left[~hit]
+        start, flat = np.zeros(len(order), np.int64), flat_left
+        start[left] = size_left.cumsum() - size_left
+    out = np.zeros(len(order), names.dtype)
+    out[order] = names[root]
+    return out
+
+
 def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id) for the rows of docs that have a doc_id; component_id is the smallest doc_id of the group.
 
@@ -124,15 +186,31 @@ def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            found = np.array([fingerprint(texts[k].as_py(), words) for k in range(len(texts))], np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["doc_id", "low", "high"])
+            texts, found, keys = batch.column(1), [], []
+            for k in range(len(texts)):
+                values = shingles(texts[k].as_py(), words)
+                name = xxhash.xxh3_128_digest(values.tobytes())
+                found.append((*_simhash(values), *np.frombuffer(name, np.int64).tolist()))
+                keys.append(bands(values))
+            found = np.array(found, np.int64).reshape(-1, 4)
+            yield pa.record_batch([batch.column(0), *(pa.array(found[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "low", "high", "name", "check", "bands"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        names = table.column("node").to_numpy()
+        root = linked(names, [shingles(x.as_py(), words) for x in table.column("text")])
+        return pa.table({"node": pa.array(names, pa.int64()), "root": pa.array(root, pa.int64())})
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = written(arrow(rows, step, "doc_id long, low long, high long"), "wide-fingerprints")
-    classes = written(found.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "wide-classes")
-    named = classes.join(components(links(classes, radius)), "node", "left").select("low", "high", F.coalesce("root", "node").alias("component_id"))
-    return found.join(named, ["low", "high"]).select("doc_id", "component_id")
+    found = written(arrow(rows, step, "doc_id long, low long, high long, name long, check long, bands array<long>"), "wide-fingerprints")
+    classes = written(found.groupBy("name", "check").agg(F.min("doc_id").alias("node"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("bands").alias("bands")), "wide-classes")
+    filed = classes.select("node", F.explode("bands").alias("key"))
+    least = filed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    agreed = filed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    candidates = components(links(classes, radius).union(agreed))
+    met = candidates.join(rows, F.col("node") == F.col("doc_id")).select("root", "node", "text")
+    near = met.groupBy("root").applyInArrow(verify, "node long, root long").distinct()
+    named = classes.join(near, "node", "left").select("name", "check", F.coalesce("root", "node").alias("component_id"))
+    return found.join(named, ["name", "check"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

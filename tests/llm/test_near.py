@@ -66,3 +66,29 @@ def test_planted_copies(spark):
         first.setdefault(g, 10 + i)
     assert sorted(map(str, ids)) == sorted(map(str, [*first.values(), None, 2000, 2002]))
     assert near.keep_one(docs.limit(0)).count() == 0
+
+
+def test_groups_are_those_of_brute_force(spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choices("abcdefghij", k=5)) for _ in range(4000)]
+    texts = []
+    for k in range(240):
+        base = r.choices(vocab, k=r.randint(100, 300))
+        aim = 0.7 + 0.2 * k / 240
+        changed = round((1 - 2 * aim / (1 + aim)) * len(base) / 5)
+        copy = list(base)
+        for at in r.sample(range(2, len(base) // 5), changed):
+            copy[5 * at] = r.choice(vocab)
+        texts += [" ".join(base), " ".join(copy)]
+    chain = r.choices(vocab, k=200)
+    for k in range(12):  # each is near the next, the ends have nothing in common
+        texts.append(" ".join(chain))
+        chain = chain[15:] + r.choices(vocab, k=15)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in [i - 1] if i % 2 or i > 480 else []:
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root[i] = root[j]
+    assert 60 < sum(root[2 * k] == root[2 * k + 1] for k in range(240)) < 180 and root[-1] == 480
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, near.groups(docs).collect())) == dict(enumerate(root))
