@@ -165,6 +165,8 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataF
     return captures, written(arrow(ordered, index, _DIRECTORY), "directory")
 
 
+#: Where the JSON of an index line starts.
+_START = ' {"key": '
 _DIRECTORY = "first string, last string, file string, at long, size long"
 
 
@@ -188,9 +190,9 @@ def lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
                     while k < len(blocks) and firsts[k] <= key:
                         if read != k:
                             read, lines = k, {}
-                            for line in gzip.decompress(reader.range(*blocks[k][2:])).decode().splitlines():
-                                name, _, rest = line.partition(" {")
-                                lines.setdefault(name, []).append("{" + rest)
+                            for line in gzip.decompress(reader.range(*blocks[k][2:])).decode().split("\n")[:-1]:
+                                name, _, rest = line.rpartition(_START)  # a key may hold it, but in JSON its quotes are escaped
+                                lines.setdefault(name, []).append(_START[1:] + rest)
                         for line in lines.get(key, ()):
                             r = json.loads(line)
                             out.append((r["key"], r["page_id"], r["digest"], r["kind"], r["file"], r["at"], r["size"]))

@@ -71,3 +71,13 @@ def test_query(spark):
     got = op6_warc(spark, "/root/testdata/sf0.001")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got.collect()) == plain(pages)
+
+
+def test_any_url_comes_back(spark, tmp_path):
+    urls = ["http://x.org/a {b}", 'http://x.org/a {"key": "c"}', "http://x.org/?q={ {", *(f"http://x.org/a{c}b?q={c}c" for c in "\x0b\x0c\x1c\x1d\x1e\x85  \n\r\t é"), "http://x.org/a", 'not {"key": a url', "http://[bad / {x"]
+    table = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    captures, index = warc.write(table, f"file://{tmp_path}/w")
+    found = warc.lookup(index, warc.keys_of(table))
+    assert sorted(map(str, found.collect())) == sorted(map(str, captures.collect()))
+    rows = warc.records(found, texts=True).collect()
+    assert sorted((r.page_id, r.html) for r in rows) == [(k, f"<p>{k}</p>") for k in range(len(urls))]
