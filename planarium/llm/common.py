@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from ..session import importable as prepare
+from ..session import shared_root
 
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, besides any --py-files."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="planarium-"))
-        root = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
+__all__ = ["arrow", "grouped", "prepare", "read", "shared_path", "shared_root", "written"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -53,5 +33,25 @@ def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(step, schema)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, which are the first columns and hold no nulls; runs may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in pairwise([0, *cuts.tolist(), len(batch)]):
+            own = tuple(c[a] for c in columns)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,19 +1,22 @@
 """Near-duplicates of the pipeline: five-word shingles at a Jaccard similarity of 0.8 or more.
 
-Candidates come two ways. Fingerprints, SimHash of 128 bits over distinct shingles, link where they differ in RADIUS bits
-or fewer; two sets of similarity J differ in a share acos(2 J / (1 + J)) / pi of their bits, so of pairs at 0.8 this alone
-would miss a fifth. Links are found by multi-index hashing over eight segments of 16 bits, each asked under all values one
-bit away or less, and reduced to forests as in simhash. Besides, MinHashes of ROWS functions make a band, and sets that
-agree in one of BANDS bands are candidates: a pair at 0.8 has none with a chance of (1 - 0.8 ** 5) ** 24, 7 in 100,000.
-
-No candidate counts before it is verified: within each group of candidates, documents link only where the Jaccard
-similarity of their shingles is LEAST or more. A document is compared with all those that no link has reached so far.
+Documents with equal sets of shingles are one class. Candidates come two ways. Fingerprints, SimHash of 128 bits over the
+set, link where they differ in RADIUS bits or fewer; multi-index hashing over eight segments with balls of one bit finds
+every such pair. But two sets of similarity J differ in a share acos(2 J / (1 + J)) / pi of their bits, 19 of 128 at 0.8,
+and no small ball reaches so far: fingerprints alone can't give the result that is asked for. So MinHashes of ROWS
+functions make a band besides, and sets that agree in one of BANDS bands are candidates: a pair at 0.8 has none with a
+chance of (1 - 0.8 ** 5) ** 24, 7 in 100,000.
+
+No candidate counts before it is verified on the sets themselves. Candidates form groups. A small group is held in one
+task, which compares its sets until no link is open. A large one is dealt into blocks: first every set meets a few pivots,
+which joins most of a dense group; then the sets that are not in the group's largest part meet every other set, block by
+block. So every pair in a group whose two sets no other links have joined is compared, whatever the group's size, and no
+task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare, written
-from .components import components
-from .simhash import BUCKET, HOT_ROWS, PAIRS, SEED, TASK_ROWS, forest
+from ..operators.graphs import connected_components, with_least
+from .common import arrow, grouped, prepare, written
+from .simhash import SEED, forest, links
 
-#: Words to a shingle, differing bits of 128, bits to a segment.
-WORDS, RADIUS, WIDTH = 5, 22, 16
-_LANES = 2
+#: Words to a shingle, segments of a fingerprint, differing bits of 128.
+WORDS, PARTS, RADIUS = 5, 8, 15
 #: The similarity from which documents are near-duplicates; bands of MinHashes, and functions to a band.
 LEAST, BANDS, ROWS = 0.8, 24, 5
+#: Shingles and sets of a group that is held whole, shingles to a block, sets that all others of a large group meet first.
+WHOLE, MEMBERS, BLOCK, PIVOTS = 400_000, 1000, 400_000, 32
 _FLIP, _TIMES = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+_LANES = 2
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -77,74 +82,6 @@ def bands(values: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _file(classes: DataFrame, ball: int) -> DataFrame:
-    """(key, node, low, high, filed): a row under each segment value, and one under each larger value in its ball."""
-    masks = np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(WIDTH), n)], np.uint64)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, *lanes = (batch.column(k).to_numpy() for k in range(3))
-            for k in range(64 * _LANES // WIDTH):
-                lane, shift = divmod(k * WIDTH, 64)
-                value = (lanes[lane].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << WIDTH) - 1)
-                asked = value[:, None] ^ masks[None, :]
-                rows, cols = np.nonzero(asked >= value[:, None])
-                key = (asked[rows, cols] | np.uint64(k << WIDTH)).astype(np.int32)
-                yield pa.record_batch([pa.array(key), *(pa.array(x[rows]) for x in (node, *lanes)), pa.array(cols == 0)], ["key", "node", "low", "high", "filed"])
-
-    return arrow(classes.select("node", "low", "high"), step, "key int, node long, low long, high long, filed boolean")
-
-
-def _meet(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if not (batches := list(batches)):
-        return
-    table = pa.Table.from_batches(batches)
-    key, salt, node, low, high, filed = (table.column(c).to_numpy() for c in ("key", "salt", "node", "low", "high", "filed"))
-    order = np.lexsort((node, ~filed, salt, key))
-    key, salt, low, high, filed = key[order], salt[order], low[order].view(np.uint64), high[order].view(np.uint64), filed[order]
-    names, node = np.unique(node[order], return_inverse=True)
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-    size = np.diff(np.r_[start, len(key)])
-    tabled = np.add.reduceat(filed.astype(np.int64), start)
-    first, last = np.repeat(start, size), np.repeat(start + tabled, size)
-    first = np.where(filed, np.arange(len(key)) + 1, first)
-    many = np.maximum(last - first, 0)
-    rows = np.flatnonzero(many)
-    root, upto, at = np.arange(len(names)), np.cumsum(many[rows]), 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
-        own = rows[at:to]
-        left = np.repeat(own, many[own])
-        right = np.arange(len(left)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(first[own], many[own])
-        apart = np.bitwise_count(low[left] ^ low[right])
-        near = np.flatnonzero(apart <= radius)
-        left, right = left[near], right[near]
-        near = apart[near] + np.bitwise_count(high[left] ^ high[right]) <= radius
-        root = forest(root[node[left[near]]], root[node[right[near]]], len(names))[root]
-        at = to
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    yield pa.record_batch([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
-
-
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between nodes of classes (node, low, high) whose fingerprints meet and are `radius` or fewer bits apart."""
-    spark = prepare(classes.sparkSession)
-    rows = _file(classes, 1)
-    hot = written(_file(classes, 0).groupBy("key").count().where(F.col("count") > BUCKET), "hot-wide-segments")
-    grid = F.ceil(F.col("count") / BUCKET).cast("int")
-    if n := hot.count():
-        rows = rows.join(F.broadcast(hot) if n <= HOT_ROWS else hot, "key", "left").withColumn("grid", F.coalesce(grid, F.lit(1)))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("grid") - 1)
-        filed = rows.where("filed").withColumn("line", F.explode(every)).withColumn("col", F.col("own"))
-        asking = rows.where("not filed or grid > 1").withColumn("filed", F.lit(False)).withColumn("line", F.col("own")).withColumn("col", F.explode(every))
-        rows = filed.unionByName(asking).select("key", "node", "low", "high", "filed", (F.col("line") * F.col("grid") + F.col("col")).cast("int").alias("salt"))
-    else:
-        rows = rows.withColumn("salt", F.lit(0))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * 72 / TASK_ROWS * 2))
-    return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(radius, batches), "a long, b long")
-
-
 def linked(names: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     """For each set the smallest name reachable over pairs of a Jaccard similarity of `least` or more; equal names link."""
     order = np.argsort(names, kind="stable")
@@ -178,43 +115,151 @@ def linked(names: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> n
     return out
 
 
-def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id) for the rows of docs that have a doc_id; component_id is the smallest doc_id of the group.
+def between(left: list[np.ndarray], right: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """For each set of left, then of right, the first set reachable over pairs, one from each side, of `least` or more."""
+    size = np.array([len(x) for x in right], np.int64)
+    values, flat = np.unique(np.concatenate(right), return_inverse=True)
+    start, held = np.cumsum(size) - size, np.zeros(len(values), np.int32)
+    a, b = [], []
+    for k, one in enumerate(left):
+        own = np.minimum(np.searchsorted(values, one), len(values) - 1)
+        own = own[values[own] == one]
+        held[own] = 1
+        both = np.add.reduceat(held[flat], start)
+        held[own] = 0
+        hit = np.flatnonzero(both >= least * (len(one) + size - both) - 1e-9)
+        a.append(np.full(len(hit), k))
+        b.append(hit + len(left))
+    return forest(np.concatenate(a), np.concatenate(b), len(left) + len(right))
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
 
-    Null and empty texts are near-duplicates of each other. Rows that repeat come back as often as they came.
-    """
+
+def _edges(names: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(names != roots)
+    return pa.record_batch([pa.array(names[moved]), pa.array(roots[moved])], ["a", "b"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, node, shingles), ordered by root: the links within each root's rows, as a forest."""
+    for table in grouped(batches, 1):
+        names = table.column("node").to_numpy()
+        yield _edges(names, linked(names, _sets(table)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, line, col, asks, node, shingles), ordered so: the links between those that ask and the others, as a forest."""
+    for table in grouped(batches, 3):
+        names, asks, sets = table.column("node").to_numpy(), table.column("asks").to_numpy(), _sets(table)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if len(left) and len(right):
+            order = np.r_[left, right]
+            found = between([sets[k] for k in left], [sets[k] for k in right])
+            yield _edges(names[order], names[order][found])
+
+
+def _meet(asking: DataFrame, others: DataFrame) -> DataFrame:
+    """Edges between sets of asking and of others that lie in one block (root, line, col)."""
+    columns = ("root", "line", "col", "asks", "node", "shingles")
+    both = asking.withColumn("asks", F.lit(True)).select(*columns).union(others.withColumn("asks", F.lit(False)).select(*columns))
+    return arrow(both.repartition("root", "line", "col").sortWithinPartitions("root", "line", "col"), _blocks, "a long, b long")
+
+
+def _verified_large(large: DataFrame) -> DataFrame:
+    """Edges whose components are those of all verified links within large groups: (root, node, n, total, members, shingles)."""
+    wide = F.ceil(F.col("total") / BLOCK).cast("int")
+    dealt = large.withColumn("cols", wide).withColumn("col", F.pmod(F.xxhash64("node"), F.col("cols")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cols") - 1))
+    pivots = dealt.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("members")) < PIVOTS).withColumn("col", every).withColumn("line", F.lit(0))
+    first = written(_meet(pivots, dealt.withColumn("line", F.lit(0))), "pivot-links")
+    parts = connected_components(first)
+    named = written(large.select("root", "node", "n").join(parts.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "large-parts")
+    most = named.groupBy("root", "part").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("most"))
+    apart = named.join(most, "root").where("part <> most").select("root", "node", "n")
+    lines = apart.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("lines"))
+    asking = dealt.join(apart.select("node"), "node", "left_semi").join(lines, "root")
+    asking = asking.withColumn("line", F.pmod(F.xxhash64("node", F.lit(1)), F.col("lines")).cast("int")).withColumn("col", every)
+    others = dealt.join(lines, "root").withColumn("line", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)))
+    return first.union(written(_meet(asking, others), "block-links"))
+
+
+def _labelled(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """(doc_id, told, rest, root) for the rows of docs that have a doc_id: hashes of the text and of the other columns, and
+    a name of the group of near-duplicates."""
+    spark = prepare(docs.sparkSession)
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found, keys = batch.column(1), [], []
-            for k in range(len(texts)):
-                values = shingles(texts[k].as_py(), words)
-                name = xxhash.xxh3_128_digest(values.tobytes())
-                found.append((*_simhash(values), *np.frombuffer(name, np.int64).tolist()))
-                keys.append(bands(values))
-            found = np.array(found, np.int64).reshape(-1, 4)
-            yield pa.record_batch([batch.column(0), *(pa.array(found[:, k]) for k in range(4)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "low", "high", "name", "check", "bands"])
-
-    def verify(table: pa.Table) -> pa.Table:
-        names = table.column("node").to_numpy()
-        root = linked(names, [shingles(x.as_py(), words) for x in table.column("text")])
-        return pa.table({"node": pa.array(names, pa.int64()), "root": pa.array(root, pa.int64())})
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = written(arrow(rows, step, "doc_id long, low long, high long, name long, check long, bands array<long>"), "wide-fingerprints")
-    classes = written(found.groupBy("name", "check").agg(F.min("doc_id").alias("node"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("bands").alias("bands")), "wide-classes")
-    filed = classes.select("node", F.explode("bands").alias("key"))
-    least = filed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    agreed = filed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    candidates = components(links(classes, radius).union(agreed))
-    met = candidates.join(rows, F.col("node") == F.col("doc_id")).select("root", "node", "text")
-    near = met.groupBy("root").applyInArrow(verify, "node long, root long").distinct()
-    named = classes.join(near, "node", "left").select("name", "check", F.coalesce("root", "node").alias("component_id"))
-    return found.join(named, ["name", "check"]).select("doc_id", "component_id")
+            sets = [shingles(text.as_py(), words) for text in batch.column(1)]
+            prints = np.array([(*_simhash(x), *np.frombuffer(xxhash.xxh3_64_digest(x.tobytes()), np.int64), len(x)) for x in sets], np.int64).reshape(-1, 4)
+            keys = [bands(x) for x in sets]
+            ends = np.r_[0, np.cumsum([len(x) for x in keys])]
+            filed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            yield pa.record_batch(
+                [batch.column(0), batch.column(2), batch.column(3), *(pa.array(prints[:, k]) for k in range(4)), filed, pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["doc_id", "told", "rest", "low", "high", "node", "n", "bands", "shingles"],
+            )
+
+    rows = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("told"),
+        (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")).alias("rest"),
+    )
+    schema = "doc_id long, told long, rest long, low long, high long, node long, n long, bands array<long>, shingles binary"
+    found = written(arrow(rows, step, schema).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    classes = found.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("low").alias("low"), F.min("high").alias("high"), F.min("n").alias("n"))
+    classes = written(classes, "shingle-classes")
+    filed = found.select("row", "bands").join(classes.select("row", "node"), "row").select(F.explode("bands").alias("a"), F.col("node").alias("b"))
+    agreed = with_least(filed).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    close = links(classes, radius, PARTS, "node", ("low", "high"))
+    candidates = connected_components(close.union(agreed)).join(classes.select("node", "row", "n"), "node")
+    candidates = written(candidates, "candidates")
+    sizes = candidates.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    members = written(candidates.join(sizes, "root"), "candidate-groups")
+    small = (F.col("total") <= WHOLE) & (F.col("members") <= MEMBERS)
+    sets = found.select("row", "shingles").join(members, "row")
+    held = sets.where(small).select("root", "node", "shingles")
+    edges = written(arrow(held.repartition("root").sortWithinPartitions("root"), _whole, "a long, b long"), "group-links")
+    if not members.where(~small).isEmpty():
+        edges = edges.union(_verified_large(written(sets.where(~small), "large-groups")))
+    return found.select("doc_id", "told", "rest", "node").join(connected_components(edges), "node", "left").select("doc_id", "told", "rest", F.coalesce("root", "node").alias("root"))
+
+
+def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id) for the rows of docs that have a doc_id; component_id is the smallest doc_id of the group.
+
+    docs has doc_id and text. Null and empty texts are near-duplicates of each other and of nothing else; a text of fewer
+    than `words` words is one shingle. Rows that repeat come back as often as they came, and rows of one doc_id with
+    unlike texts are rows like any others. No rows give no rows. Sets are named by 64 bits.
+    """
+    found = written(_labelled(docs, words, radius), "near-groups")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """Of each group the row with the smallest doc_id, all columns; one of rows that repeat it; all rows without a doc_id."""
-    kept = groups(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.select(docs.columns).union(docs.where("doc_id is null"))
+    """Of each group one row, all columns: that with the smallest doc_id, and of those the one with the least hash of its
+    text, then of its other columns. Of rows equal in all columns one stays; rows without a doc_id all stay, in no group.
+    Two rows of one doc_id that are no near-duplicates both stay. docs has doc_id, text and any other columns; no rows
+    give no rows.
+    """
+    keys = ("doc_id", "told", "rest")
+    found = written(_labelled(docs, words, radius), "near-groups")
+    least = written(found.groupBy("root").agg(F.min(F.struct(*keys)).alias("k")).select("k.*"), "kept")
+    repeated = written(found.groupBy(*keys).count().where("count > 1").select(*keys), "repeated")
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    rows = docs.where("doc_id is not null").select(
+        F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("whole"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("told"),
+        (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")).alias("rest"),
+    )
+    kept = rows.join(least, list(keys), "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, list(keys), "left_anti").union(kept.join(repeated, list(keys), "left_semi").dropDuplicates(list(keys)))
+    kept = kept.select(*(F.col(f"whole.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return kept.union(docs.where("doc_id is null"))

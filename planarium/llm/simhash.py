@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare, shared_root, written
-from .components import components
+from ..operators.graphs import connected_components as components
 
 SEED = 42
 #: Fingerprints filed under one segment value that a task takes; a fuller one is split over a grid of tasks.
@@ -62,34 +62,37 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, fp long")
 
 
-def _segments(parts: int) -> list[tuple[int, int]]:
-    cuts = [64 * k // parts for k in range(parts + 1)]
-    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+def _segments(lanes: int, parts: int) -> list[tuple[int, int, int]]:
+    """(lane, first bit, width) of each segment; a lane has parts // lanes of them."""
+    cuts = [64 * k // (parts // lanes) for k in range(parts // lanes + 1)]
+    return [(lane, a, b - a) for lane in range(lanes) for a, b in itertools.pairwise(cuts)]
 
 
-def _file(fps: DataFrame, parts: int, ball: int) -> DataFrame:
-    """(key, fp, filed): a row under each segment value, and one for each larger value in the ball around it.
+def _file(classes: DataFrame, node: str, lanes: tuple[str, ...], parts: int, ball: int) -> DataFrame:
+    """(key, node, the lanes, filed): a row under each segment value, and one for each larger value in the ball around it.
 
     Of two values that differ, only the smaller asks for the larger: each pair meets once.
     """
+    names = list(dict.fromkeys([node, *lanes]))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [
-            np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(width), n)], np.uint64)
-            for _, width in _segments(parts)
-        ]
+        segments = _segments(len(lanes), parts)
+        masks = {
+            width: np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(width), n)], np.uint64)
+            for _, _, width in segments
+        }
         for batch in batches:
-            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(every), 2048):
-                fp = every[at : at + 2048]
-                for k, (low, width) in enumerate(_segments(parts)):
-                    value = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                    asked = value[:, None] ^ masks[k][None, :]
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                columns = {name: part.column(name).to_numpy(zero_copy_only=False) for name in names}
+                for k, (lane, low, width) in enumerate(segments):
+                    value = (columns[lanes[lane]].view(np.uint64) >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                    asked = value[:, None] ^ masks[width][None, :]
                     rows, cols = np.nonzero(asked >= value[:, None])
                     mixed = (asked[rows, cols] * np.uint64(parts) + np.uint64(k)).view(np.int64)
-                    yield pa.record_batch([pa.array(mixed), pa.array(fp[rows].view(np.int64)), pa.array(cols == 0)], ["key", "fp", "filed"])
+                    yield pa.record_batch([pa.array(mixed), *(pa.array(columns[name][rows]) for name in names), pa.array(cols == 0)], ["key", *names, "filed"])
 
-    return arrow(fps.select("fp"), step, "key long, fp long, filed boolean")
+    return arrow(classes.select(*names), step, "key long, " + ", ".join(f"{name} long" for name in names) + ", filed boolean")
 
 
 def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -107,15 +110,15 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _meet(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+def _meet(node: str, lanes: tuple[str, ...], radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
-    key, salt, fp = (table.column(c).to_numpy() for c in ("key", "salt", "fp"))
-    filed = table.column("filed").to_numpy()
-    order = np.lexsort((fp, ~filed, salt, key))
-    key, salt, fp, filed = key[order], salt[order], fp[order], filed[order]
-    names, node = np.unique(fp, return_inverse=True)
+    key, salt, name, filed = (table.column(c).to_numpy() for c in ("key", "salt", node, "filed"))
+    order = np.lexsort((name, ~filed, salt, key))
+    key, salt, filed = key[order], salt[order], filed[order]
+    bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in lanes]
+    names, number = np.unique(name[order], return_inverse=True)
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
     size = np.diff(np.r_[start, len(key)])
     tabled = np.add.reduceat(filed.astype(np.int64), start)
@@ -123,43 +126,49 @@ def _meet(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     first = np.where(filed, np.arange(len(key)) + 1, first)  # a filed row meets those filed after it
     many = np.maximum(last - first, 0)
     rows = np.flatnonzero(many)
-    root = np.arange(len(names))
-    upto = np.cumsum(many[rows])
-    at = 0
+    root, upto, at = np.arange(len(names)), np.cumsum(many[rows]), 0
     while at < len(rows):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
         own = rows[at:to]
         left = np.repeat(own, many[own])
         right = np.arange(len(left)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(first[own], many[own])
-        near = np.bitwise_count((fp[left] ^ fp[right]).view(np.uint64)) <= radius
-        a, b = root[node[left[near]]], root[node[right[near]]]
-        root = forest(a, b, len(names))[root]
+        apart = np.zeros(len(left), np.uint8)
+        for lane in bits:  # what one lane alone holds too far apart needs no other
+            apart = apart + np.bitwise_count(lane[left] ^ lane[right])
+            near = np.flatnonzero(apart <= radius)
+            left, right, apart = left[near], right[near], apart[near]
+        root = forest(root[number[left]], root[number[right]], len(names))[root]
         at = to
     moved = np.flatnonzero(root != np.arange(len(root)))
     yield pa.record_batch([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
 
 
-def links(fps: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints `radius` or fewer bits apart."""
-    spark = prepare(fps.sparkSession)
-    rows = _file(fps, parts, radius // parts)
-    counted = written(_file(fps, parts, 0).groupBy("key").count().where(F.col("count") > BUCKET), "hot-segments")
+def links(classes: DataFrame, radius: int = 3, parts: int = 2, node: str = "fp", lanes: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of rows `radius` or fewer bits apart.
+
+    classes has a long `node`, which names a row, and longs `lanes`, which are its fingerprint's bits. Rows of one node
+    count as one. The balls of radius // parts around segments find every pair. No rows give no edges.
+    """
+    spark = prepare(classes.sparkSession)
+    rows = _file(classes, node, lanes, parts, radius // parts)
+    counted = written(_file(classes, node, lanes, parts, 0).groupBy("key").count().where(F.col("count") > BUCKET), "hot-segments")
     if (hot := counted.count()) and hot <= HOT_ROWS:
         counted = F.broadcast(counted)
+    carried = list(dict.fromkeys([node, *lanes]))
     if hot:
         grid = F.ceil(F.col("count") / BUCKET).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.coalesce(grid, F.lit(1))).cast("int")
+        own = F.pmod(F.xxhash64(node), F.coalesce(grid, F.lit(1))).cast("int")
         rows = rows.join(counted, "key", "left").withColumn("grid", F.coalesce(grid, F.lit(1))).withColumn("own", F.coalesce(own, F.lit(0)))
         every = F.sequence(F.lit(0), F.col("grid") - 1)
         # in a hot value's grid, a column holds a part of those filed and a row a part of those asking
-        filed = rows.where("filed").select("key", "fp", "filed", F.explode(every).alias("line"), F.col("own").alias("col"), "grid")
-        asking = rows.where("not filed or grid > 1").select("key", "fp", F.lit(False).alias("filed"), F.col("own").alias("line"), F.explode(every).alias("col"), "grid")
-        rows = filed.union(asking).select("key", "fp", "filed", (F.col("line") * F.col("grid") + F.col("col")).cast("long").alias("salt"))
+        filed = rows.where("filed").select("key", *carried, "filed", F.explode(every).alias("line"), F.col("own").alias("col"), "grid")
+        asking = rows.where("not filed or grid > 1").select("key", *carried, F.lit(False).alias("filed"), F.col("own").alias("line"), F.explode(every).alias("col"), "grid")
+        rows = filed.union(asking).select("key", *carried, "filed", (F.col("line") * F.col("grid") + F.col("col")).cast("long").alias("salt"))
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
-    wide = sum(1 + sum(math.comb(w, n) for n in range(1, radius // parts + 1)) // 2 for _, w in _segments(parts))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(fps.count() * wide / TASK_ROWS))
-    return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(radius, batches), "a long, b long")
+    wide = sum(1 + sum(math.comb(w, n) for n in range(1, radius // parts + 1)) // 2 for _, _, w in _segments(len(lanes), parts))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * wide / TASK_ROWS))
+    return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(node, lanes, radius, batches), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 2) -> DataFrame:
@@ -178,10 +187,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int
     least = near.groupBy("root").agg(F.min("least").alias("component_id"))
     named = near.join(least, "root").select("fp", "component_id")
     return found.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Of each component of near_duplicates(docs), the row with the smallest doc_id. Rows with a null doc_id all stay."""
-    found = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))

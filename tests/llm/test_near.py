@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from planarium.llm import near
+from planarium.llm import near, simhash
 
 
 def jaccard(a, b, k=5):
@@ -29,7 +29,7 @@ def made(seed=0):
 
 @pytest.mark.parametrize("bucket", [2048, 2])
 def test_links_are_all_pairs(spark, monkeypatch, bucket):
-    monkeypatch.setattr(near, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     texts, _ = made(bucket)
     fps = [near.fingerprint(t) for t in texts]
     classes = spark.createDataFrame([(i, *f) for i, f in enumerate(fps)], "node long, low long, high long")
@@ -40,7 +40,7 @@ def test_links_are_all_pairs(spark, monkeypatch, bucket):
             x = root[x]
         return x
 
-    for a, b in {tuple(r) for r in near.links(classes, 15).collect()}:
+    for a, b in {tuple(r) for r in simhash.links(classes, near.RADIUS, near.PARTS, "node", ("low", "high")).collect()}:
         root[find(a)] = find(b)
     mine = [find(x) for x in range(len(fps))]
     root = list(range(len(fps)))
@@ -68,7 +68,11 @@ def test_planted_copies(spark):
     assert near.keep_one(docs.limit(0)).count() == 0
 
 
-def test_groups_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("members", [1000, 1])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(near, "MEMBERS", members)
+    monkeypatch.setattr(near, "BLOCK", 300)
+    monkeypatch.setattr(near, "PIVOTS", 2)
     r = random.Random(11)
     vocab = ["".join(r.choices("abcdefghij", k=5)) for _ in range(4000)]
     texts = []
@@ -92,3 +96,13 @@ def test_groups_are_those_of_brute_force(spark):
     assert 60 < sum(root[2 * k] == root[2 * k + 1] for k in range(240)) < 180 and root[-1] == 480
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert dict(map(tuple, near.groups(docs).collect())) == dict(enumerate(root))
+
+
+def test_rows_of_one_doc_id(spark):
+    unlike = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
+    rows = [(1, unlike[0], "x", 1), (1, unlike[1], "x", 2), (1, unlike[1], "x", 2), (2, unlike[1], "y", 3), (3, "few words", "z", 4), (3, "few words", "y", 4), (3, "few words", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string, told int")
+    first = sorted(map(tuple, near.keep_one(docs).collect()), key=str)
+    assert [r[:2] for r in first] == sorted([(1, unlike[0]), (1, unlike[1]), (3, "few words")])
+    again = spark.createDataFrame(rows[::-1], docs.schema).repartition(5)
+    assert sorted(map(tuple, near.keep_one(again).collect()), key=str) == first
