@@ -17,7 +17,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def with_least(edges: DataFrame) -> DataFrame:
     """edges (a, b) with m, the least of b by a: least by part first, then over a node's parts, of which it has PARTS."""
     dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int"))
     least = dealt.groupBy("a", "part").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
@@ -38,9 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state[0] or state == last:
             break
         last = state
-        both = _with_least(edges.union(edges.select(F.col("b"), F.col("a"))))
+        both = with_least(edges.union(edges.select(F.col("b"), F.col("a"))))
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        small = with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         moved = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(moved.distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
