@@ -1,10 +1,13 @@
 """Benchmark passages in training texts, copied, edited or paraphrased.
 
-Words are the lower-cased runs of word characters. Every n-gram of an item is a seed, however common it is: a seed in a
-document proposes a place for the whole item. A place is dropped only if its words cannot reach the score that is asked
-for: an item's word that is not there costs a mismatch or a gap, so the best run over the item's words, MATCH for each
-that is there and the smaller loss for each that is not, bounds every alignment. Smith-Waterman alignment of the item
-with the words of the other places gives the score. Alignments run side by side in numpy.
+Words are the lower-cased runs of word characters, and each character of a script without spaces is a word. Every n-gram
+of an item is a seed, however common it is: a seed in a document proposes a place for the whole item, and seeds that put
+the item's start at nearly one place share a window. The window is so wide that no alignment through one of its seeds
+that reaches half of a perfect score leaves it: such an alignment skips at most as many words as the item has. A window
+is dropped only if its words cannot reach the score that is asked for: an item's word that is not there costs a mismatch
+or a gap, so the best run over the item's words, MATCH for each that is there and the smaller loss for each that is not,
+bounds every alignment. Smith-Waterman alignment of the item with the words of the other windows gives the score.
+Alignments run side by side in numpy; each depends on its own item and window alone.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ SEED, MATCH, OTHER, GAP, LEAST = 3, 2, -1, -1, 0.5
 PART = 32 << 20
 #: Cells of alignments that run side by side.
 CELLS = 400_000
-_WORDS = re.compile(r"\w+")
+#: Scripts without spaces: Thai, Lao, Burmese and Khmer letters, kana, Chinese characters.
+_UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ec6\u1000-\u103f\u1780-\u17d3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORDS = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -136,7 +141,7 @@ def _score(items: Items, texts: list[str | None], least: float) -> list[tuple[in
         order = np.lexsort((start, item))
         held, since = -1, 0
         for j, s in zip(item[order].tolist(), start[order].tolist()):
-            if j != held or s - since > len(items.words[j]) // 4:  # seeds of one place agree on where the item starts
+            if j != held or s - since > len(items.words[j]) // 4:
                 jobs.append((k, j, s))
                 held, since = j, s
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -149,14 +154,15 @@ def _score(items: Items, texts: list[str | None], least: float) -> list[tuple[in
         own = own[size[own] <= max(16, 2 * n)]
         at += len(own)
         top = int(size[own].max())
-        left, wide = top // 2, 2 * top + top // 4
-        left_side, windows = np.full((len(own), top), -1, np.int64), np.full((len(own), wide), -2, np.int64)
+        # an item's seeds start from s to s + n // 4; half a perfect score leaves room for n words that are not the item's
+        left_side, windows = np.full((len(own), top), -1, np.int64), np.full((len(own), 3 * top + top // 4), -2, np.int64)
         begin = []
         for r, job in enumerate(own.tolist()):
             k, j, s = jobs[job]
-            low = max(0, s - left)
-            part = words[k][low : low + wide]
-            left_side[r, : size[job]] = items.words[j]
+            n = int(size[job])
+            low = max(0, s - n)
+            part = words[k][low : s + 2 * n + n // 4]
+            left_side[r, :n] = items.words[j]
             windows[r, : len(part)] = part
             begin.append(low)
         begin = np.array(begin)
@@ -167,7 +173,7 @@ def _score(items: Items, texts: list[str | None], least: float) -> list[tuple[in
             k, j, _ = jobs[job]
             new = (float(found[r]) / (MATCH * int(size[job])), int(begin[r] + first[r]), int(begin[r] + last[r]) + 1)
             old = out.get((k, j))
-            if old is None or (-new[0], new[1]) < (-old[0], old[1]):
+            if old is None or (-new[0], new[2], new[1]) < (-old[0], old[2], old[1]):
                 out[k, j] = new
     return [(k, j, *v) for (k, j), v in sorted(out.items()) if v[0] >= least]
 
@@ -186,9 +192,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: i
     """(doc_id, item_id, score, start_word, end_word): each document and item whose alignment reaches `least`.
 
     docs has doc_id and text, benchmark item_id and text. score is the alignment's score over that of a perfect copy;
-    the words from start_word to before end_word are those of the best place, the first of equals. Null and empty texts
-    hold nothing; items of fewer than n words, null items and null item_ids are not sought. A row that repeats is found
-    as often as it comes; a null doc_id stays null; other columns are not read. Empty tables give no rows.
+    the words from start_word to before end_word are those of the best place, the one that ends first of equals. Which
+    documents share a batch makes no difference. Windows are whole for `least` from half on. Null and empty texts hold
+    nothing; null items, null item_ids and items of fewer than n words are not sought: a shorter n seeks those too, at
+    the risk of finding a word or two in any text. An item_id with several texts is as many items. A row that repeats is
+    found as often as it comes; a null doc_id stays null; other columns are not read. Empty tables give no rows.
     """
     spark, out = docs.sparkSession, None
     for items in _parts(docs, benchmark, n):
@@ -211,10 +219,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: i
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int = SEED) -> DataFrame:
-    """The rows of docs, all columns, in which find_leaks() finds no item."""
+    """The rows of docs, all columns, in which find_leaks() finds no item: rows with null or empty texts stay, as does
+    every row where the benchmark is empty; rows that repeat stay as often as they came.
+    """
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for items in list(_parts(docs, benchmark, n)):
+    for items in _parts(docs, benchmark, n):
         sent = spark.sparkContext.broadcast(items)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -98,3 +98,64 @@ def test_no_alignment_is_over_its_bound():
     for k, (a, b) in enumerate(rows):
         items[k, : len(a)], windows[k, : len(b)] = a, b
     assert (d._bound(items, np.array([len(a) for a, _ in rows]), windows) >= [plain(a, b) for a, b in rows]).all()
+
+
+def mixed():
+    r = random.Random(12)
+    vocab = ["".join(r.choices("abcdefghij", k=4)) for _ in range(400)]
+    items = [" ".join(r.choices(vocab, k=n)) for n in (3, 4, 9, 9, 15, 18, 31, 60, 200)]
+    docs = []
+    for k in range(400):
+        words = r.choices(vocab, k=r.randint(0, 60))
+        for _ in range(r.randint(1, 3)):
+            copy = []
+            for w in items[r.randrange(len(items))].split():
+                x = r.random()
+                copy += [] if x < 0.08 else [r.choice(vocab)] if x < 0.2 else [w, *r.choices(vocab, k=r.randint(1, 3))] if x < 0.3 else [w]
+            words += copy + r.choices(vocab, k=r.randint(0, 9))
+        docs.append((k, " ".join(words)))
+    return docs, items
+
+
+def test_neither_batch_nor_partition_matters(spark):
+    docs, items = mixed()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = []
+    for seed, parts in ((1, 1), (2, 7), (3, 40)):
+        order = random.Random(seed).sample(docs, len(docs))
+        table = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        got.append(sorted(map(tuple, d.find_leaks(table, bench).collect())))
+        assert {x.doc_id for x in d.remove_leaks(table, bench).collect()} == {k for k, _ in docs} - {x[0] for x in got[-1]}
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
+def test_scores_are_those_of_whole_texts():
+    docs, items = mixed()
+    held = d.Items(list(enumerate(items)), 3)
+    found = {(k, j): score for k, j, score, _, _ in d._score(held, [t for _, t in docs], 0.5)}
+    for k, text in docs:
+        words = d.words_of(text)
+        grams = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+        for j, item in enumerate(items[:7]):
+            own = item.split()
+            score = plain(own, words) / (2 * len(own))
+            if (k, j) in found:
+                assert abs(found[k, j] - score) < 1e-9
+            elif score >= 0.5:  # only without a seed on the way: three words in a row
+                assert score < 0.75 or not any(tuple(own[i : i + 3]) in grams for i in range(len(own) - 2))
+
+
+def test_a_long_item_beside_changes_nothing():
+    short, long = "a0 a1 a2 a3 a4 a5 a6 a7 a8", " ".join(f"b{k}" for k in range(18))
+    held = d.Items([(0, short), (1, long)], 3)
+    text = "a0 a1 a2 a3 f0 f1 f2 f3 zz f5 f6 a4 yy yy a5 a6 a7 a8"
+    alone = d._score(held, [text], 0.1)
+    beside = d._score(held, [text, long], 0.1)
+    assert alone == [x for x in beside if x[0] == 0]
+
+
+def test_scripts_without_spaces(spark):
+    assert d.words_of("Ab 漢字cd ไทย_x かな") == ["ab", "漢", "字", "cd", "ไ", "ท", "ย", "_x", "か", "な"]
+    bench = spark.createDataFrame([(1, "今日は天気がいいですね。散歩に行きましょう")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "昨日。今日は天気が悪いですね。散歩に行きましょうか"), (2, "明日は雨でしょう"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in d.find_leaks(docs, bench).collect()] == [1]
