@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, prepare, shared_path, written
@@ -30,6 +31,8 @@ from .common import arrow, prepare, shared_path, written
 #: Lines to an index block; bytes to an archive file; rows of the directory that may be broadcast at once (beyond, it is
 #: taken in parts); bytes of neighbouring records that are read at once.
 LINES, FILE_BYTES, DIRECTORY_ROWS, READ_BYTES = 3000, 256 << 20, 200_000, 4 << 20
+#: Bytes of an archive file that one task reads; parts that pages of one payload are dealt into.
+SPAN, PARTS = 16 << 20, 64
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -112,6 +115,22 @@ def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
+#: Where the JSON of an index line starts: a key may hold this too, but in JSON its quotes are escaped.
+_START = ' {"key": '
+
+
+def block_of(captures: list[dict]) -> bytes:
+    """An index block: a line for each capture, its key and the whole of it as JSON."""
+    return gzip.compress("".join(r["key"] + " " + json.dumps(r) + "\n" for r in captures).encode(), 6, mtime=0)
+
+
+def lines_of(block: bytes) -> Iterator[tuple[str, str]]:
+    """(key, JSON) of each line of an index block."""
+    for line in gzip.decompress(block).decode().split("\n")[:-1]:
+        name, _, rest = line.rpartition(_START)
+        yield name, _START[1:] + rest
+
+
 def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write archives and their index for pages (page_id, url, html); return (captures, directory).
 
@@ -119,12 +138,17 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataF
     largest page_id is a response and the others are revisits of it. Rows that repeat the largest page_id are responses
     all; a row without a page_id revisits its payload's response, if one has an id. A null url has an empty key. Other
     columns are not read; no rows give empty tables.
+
+    Only digests travel to find the responses, those of one payload dealt into PARTS tasks; a page meets the result
+    under its own page_id, so that no payload, however common, is one task's.
     """
     spark = prepare(pages.sparkSession)
     folder = folder or shared_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    kept = rows.groupBy("sha").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("sha", "kept")
-    marked = rows.join(kept, "sha", "left").select("page_id", "url", "html", "sha", "kept")
+    pairs = rows.select("page_id", "sha").distinct().withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(PARTS)))
+    largest = pairs.groupBy("sha", "part").agg(F.max("page_id").alias("kept")).withColumn("kept", F.max("kept").over(Window.partitionBy("sha")))
+    again = pairs.join(largest, ["sha", "part"]).where("kept is not null and not page_id <=> kept").select(F.col("page_id").alias("again"), F.col("sha").alias("same"), "kept")
+    marked = rows.join(again, F.expr("page_id <=> again and sha = same"), "left").select("page_id", "url", "html", "sha", "kept")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(f"{folder}/archive", ".warc.gz", FILE_BYTES)
@@ -133,7 +157,7 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataF
             for k in range(len(batch)):
                 page, url, html, sha, kept = (batch.column(c)[k].as_py() for c in range(5))
                 payload, digest = html.encode(), base64.b32encode(bytes.fromhex(sha)).decode()
-                kind = "response" if kept is None or kept == page else "revisit"
+                kind = "response" if kept is None else "revisit"
                 data = gzip.compress(_record(kind, page, url, digest, len(payload), payload if kind == "response" else b"", kept), 6, mtime=0)
                 file, at = files.append(data)
                 out.append((key_of(url), page, digest, kind, file, at, len(data)))
@@ -147,7 +171,7 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataF
         held: list[dict] = []
 
         def block() -> pa.RecordBatch:
-            data = gzip.compress("".join(r["key"] + " " + json.dumps(r) + "\n" for r in held).encode(), 6, mtime=0)
+            data = block_of(held)
             file, at = files.append(data)
             return _columns([(held[0]["key"], held[-1]["key"], file, at, len(data))], _DIRECTORY)
 
@@ -165,13 +189,15 @@ def write(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataF
     return captures, written(arrow(ordered, index, _DIRECTORY), "directory")
 
 
-#: Where the JSON of an index line starts.
-_START = ' {"key": '
 _DIRECTORY = "first string, last string, file string, at long, size long"
 
 
 def lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
-    """The captures of each distinct key (column key), read from index blocks that the directory points to."""
+    """The captures of each distinct key (column key), read from index blocks that the directory points to.
+
+    Null keys and keys without a capture give no rows, as does an empty directory; a key that repeats gives its captures
+    once, and captures that are equal in all columns come back as often as they are there. Other columns are not read.
+    """
     spark = prepare(directory.sparkSession)
     wanted = keys.select("key").where("key is not null").distinct()
     asked = written(wanted.repartitionByRange("key").sortWithinPartitions("key"), "keys")
@@ -190,9 +216,8 @@ def lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
                     while k < len(blocks) and firsts[k] <= key:
                         if read != k:
                             read, lines = k, {}
-                            for line in gzip.decompress(reader.range(*blocks[k][2:])).decode().split("\n")[:-1]:
-                                name, _, rest = line.rpartition(_START)  # a key may hold it, but in JSON its quotes are escaped
-                                lines.setdefault(name, []).append(_START[1:] + rest)
+                            for name, line in lines_of(reader.range(*blocks[k][2:])):
+                                lines.setdefault(name, []).append(line)
                         for line in lines.get(key, ()):
                             r = json.loads(line)
                             out.append((r["key"], r["page_id"], r["digest"], r["kind"], r["file"], r["at"], r["size"]))
@@ -208,7 +233,7 @@ def lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def keys_of(urls: DataFrame) -> DataFrame:
-    """The key of each row of urls (column url)."""
+    """The key of each row of urls (column url); a null url has the empty URL's. Rows that repeat give repeated keys."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +249,11 @@ def records(captures: DataFrame, texts: bool = False) -> DataFrame:
     """The records of captures, by range reads; html is the payload of responses, or null unless texts is set.
 
     A response's digest is computed from its payload, and a payload whose digest its record contradicts is an error. A
-    revisit has the size and digest of the payload that it revisits.
+    revisit has the size and digest of the payload that it revisits. Captures that repeat give repeated rows; none give
+    none; other columns are not read. Files are read in spans of SPAN bytes, so as many tasks share the work as the
+    records' bytes ask for.
     """
+    spark = captures.sparkSession
 
     def page(urn: str) -> int | None:
         name = urn.removeprefix("<urn:page:").removesuffix(">")
@@ -253,5 +281,8 @@ def records(captures: DataFrame, texts: bool = False) -> DataFrame:
                 yield _columns(out, _RECORDS)
                 low = high
 
-    rows = captures.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
-    return arrow(rows, step, _RECORDS)
+    rows = written(captures.select("file", "at", "size"), "places")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SPAN))
+    span = F.floor(F.col("at") / SPAN)
+    return arrow(rows.repartition(tasks, "file", span).sortWithinPartitions("file", "at"), step, _RECORDS)

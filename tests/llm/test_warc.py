@@ -1,8 +1,11 @@
 import base64
 import gzip
 import hashlib
+import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from planarium.llm import warc
 from planarium.llm.queries import op6_warc
@@ -81,3 +84,19 @@ def test_any_url_comes_back(spark, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, captures.collect()))
     rows = warc.records(found, texts=True).collect()
     assert sorted((r.page_id, r.html) for r in rows) == [(k, f"<p>{k}</p>") for k in range(len(urls))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list(' {}":key/?#[]@%\\\n\r\t\x85\u2028\x0b,)')), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=8))
+def test_any_key_comes_back_from_a_block(parts):
+    keys = sorted(warc.key_of(f"http://x.org/{p}" if k % 2 else p) for k, p in enumerate(parts))
+    rows = [{"key": key, "page_id": k, "digest": "d", "kind": "response", "file": "f", "at": k, "size": 1} for k, key in enumerate(keys)]
+    assert [(name, json.loads(line)) for name, line in warc.lines_of(warc.block_of(rows))] == [(r["key"], r) for r in rows]
+
+
+def test_one_payload_of_most_pages(spark, tmp_path):
+    pages = [(k, f"http://h/{k}", "hot" if k % 3 else f"own {k}") for k in range(900)] + [(None, "http://h/x", "hot")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    captures, index = warc.write(table, f"file://{tmp_path}/w")
+    rows = warc.records(warc.lookup(index, warc.keys_of(table))).collect()
+    assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in rows) == plain(pages)
