@@ -1,7 +1,7 @@
 """Language identification by segmentation-marginalised unigrams over a fixed public vocabulary.
 
-A text's words are its runs of letters, lower-cased, each behind the space mark; a run of over 31 letters counts as
-several. For every language each piece of the vocabulary has a probability, and a word's likelihood is the sum, over
+A text's words are its runs of letters (numerals are none, whatever their script), lower-cased, each behind the space
+mark; a run of over 31 letters counts as several. For every language each piece of the vocabulary has a probability, and a word's likelihood is the sum, over
 all ways to cut it into pieces, of the product of their probabilities: a forward algorithm adds them up. Training is
 one expectation step under equal piece probabilities: by a forward and a backward pass each piece gets the share of
 cuts that hold it. Both run over the distinct words of a batch at once, words of one length side by side.
@@ -22,6 +22,8 @@ from .pieces import MARK, load
 
 #: Letters to a word, words that a worker remembers, words side by side, share of probability spread over all pieces.
 LONGEST, REMEMBERED, ABREAST, SPREAD = 31, 200_000, 8192, 1e-3
+#: Languages side by side; numbers in a worker's table of words by language; what a share of a piece is counted in.
+TOGETHER, CELLS, GRAIN = 16, 4_000_000, 2**-12
 #: What a character that is no piece counts in every language.
 UNKNOWN = 1e-7
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,6 +32,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(text: str | None) -> list[str]:
     found = _LETTERS.findall((text or "").lower())
+    if found and not "".join(found).isalpha():  # \w holds numerals that are no decimal digits
+        found = "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
     if found and max(map(len, found)) > LONGEST:
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
@@ -82,12 +86,14 @@ class Lattice:
         """For each word and language, the logarithm of the sum over all its cuts. probability: by piece and language."""
         out = np.zeros((len(words), probability.shape[1]))
         for rows, n, found in self.groups(words):
-            forward = np.zeros((n + 1, len(rows), probability.shape[1]))
-            forward[0] = 1
-            for j in range(1, n + 1):
-                for m in range(1, min(j, len(found)) + 1):
-                    forward[j] += forward[j - m] * probability[found[m - 1][:, j - m]]
-            out[rows] = np.log(forward[n])
+            for low in range(0, probability.shape[1], TOGETHER):
+                own = np.ascontiguousarray(probability[:, low : low + TOGETHER])
+                forward = np.zeros((n + 1, len(rows), own.shape[1]))
+                forward[0] = 1
+                for j in range(1, n + 1):
+                    for m in range(1, min(j, len(found)) + 1):
+                        forward[j] += forward[j - m] * own[found[m - 1][:, j - m]]
+                out[rows, low : low + TOGETHER] = np.log(forward[n])
         return out
 
     def shares(self, words: list[str], times: np.ndarray) -> np.ndarray:
@@ -120,8 +126,9 @@ def vocabulary(model: str | None = None) -> list[str]:
 def learn(docs: DataFrame, model: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the probability by piece and language, from all rows of docs (text, lang).
 
-    Tasks emit sums by language and piece, so the driver gets at most languages x vocabulary of them. Rows without a
-    text or lang teach nothing; without rows no language is learnt.
+    Tasks emit sums by language and piece, in whole grains so that their order makes no difference, and the driver gets
+    at most languages x vocabulary of them. Rows without a text or lang, and texts without a letter, teach nothing;
+    without rows no language is learnt. Rows that repeat teach as often as they come; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
     pieces = spark.sparkContext.broadcast(vocabulary(model))
@@ -131,6 +138,7 @@ def learn(docs: DataFrame, model: str | None = None) -> tuple[list[str], np.ndar
 
         def told() -> Iterator[pa.RecordBatch]:
             for lang, found in sums.items():
+                found = np.rint(found / GRAIN).astype(np.int64)
                 at = np.flatnonzero(found)
                 yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at])], ["lang", "piece", "n"])
             sums.clear()
@@ -151,7 +159,7 @@ def learn(docs: DataFrame, model: str | None = None) -> tuple[list[str], np.ndar
         yield from told()
 
     rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    table = arrow(rows, step, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    table = arrow(rows, step, "lang string, piece int, n long").groupBy("lang", "piece").agg((F.sum("n") * GRAIN).alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
     n = len(pieces.value)
     out = np.zeros((n + 2, len(langs)))
@@ -181,7 +189,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str |
         for batch in batches:
             out: list[tuple[str, float]] = []
             for low in range(0, len(batch), 2000):
-                if len(index) > REMEMBERED:
+                if len(index) > min(REMEMBERED, CELLS // max(1, len(langs))):
                     index, table = {}, table[:0]
                 old, rows = len(index), []
                 for text in batch.column(1).slice(low, 2000):
@@ -194,11 +202,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: str |
                         continue
                     score = table[own].sum(0)
                     best = int(score.argmax())
-                    out.append((langs[best], float(1 / np.exp(score - score[best]).sum())))
+                    out.append((langs[best], round(float(1 / np.exp(score - score[best]).sum()), 6)))
             yield pa.record_batch([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """Whether crc32 of the id as text leaves no remainder by 5; a null id counts as an empty text, and so is held out."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0

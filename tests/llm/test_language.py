@@ -45,7 +45,8 @@ def test_shares_are_expectations():
 
 def test_words():
     assert language.words_of("Été 12 don't x_y " + "z" * 70) == ["été", "don", "t", "x", "y", "z" * 31, "z" * 31, "z" * 8]
-    assert language.words_of(None) == language.words_of("12 --") == []
+    assert language.words_of(None) == language.words_of("12 --") == language.words_of("½ ²½ ① Ⅷ ൰ 𐄇") == []
+    assert language.words_of("m² Ⅷème a①b 漢字") == ["m", "ème", "a", "b", "漢字"]
 
 
 def test_edges(spark):
@@ -57,6 +58,9 @@ def test_edges(spark):
     assert len(got) == len(rows)
     assert {(r.doc_id, r.lang_pred) for r in got} >= {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "fr"), (5, "zh")}
     assert all(0 <= r.score <= 1 for r in got)
+    assert {(r.doc_id, r.held_out) for r in docs.select("doc_id", language.held_out().alias("held_out")).collect()} >= {(None, True)}
+    numerals = spark.createDataFrame([(1, "½"), (2, "²½ ①")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language.predict(numerals, (langs, p)).collect()} == {("und", 0.0)}
     nothing = language.learn(docs.limit(0))
     assert nothing[0] == []
     assert {(r.lang_pred, r.score) for r in language.predict(docs, nothing).collect()} == {("und", 0.0)}
@@ -70,3 +74,17 @@ def test_held_out_accuracy(spark):
     both = got.where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
     right = both.where("lang = lang_pred").count() / both.count()
     assert right > 0.95, right
+
+
+def test_many_languages_in_blocks():
+    r = np.random.default_rng(1)
+    p = np.r_[r.random((len(PIECES), 40)), np.full((1, 40), 1e-7), np.zeros((1, 40))]
+    words = ["a", "ab", "aba", "xb"]
+    lattice = language.Lattice(PIECES)
+    assert np.allclose(lattice.likelihoods(words, p), np.stack([lattice.likelihoods(words, p[:, k : k + 1])[:, 0] for k in range(40)], 1))
+
+
+def test_order_of_rows_makes_no_difference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    one, two = language.learn(docs.repartition(1)), language.learn(docs.orderBy("text").repartition(5))
+    assert one[0] == two[0] and np.allclose(one[1], two[1], rtol=1e-4)
