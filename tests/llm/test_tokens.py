@@ -14,7 +14,7 @@ TEXTS = [None, "", " ", "  ", "a", "Hello  world ", "   three   spaces", "▁ ma
 
 @functools.cache
 def encoder(rate):
-    return dropout.Encoder(pieces.load(), rate, 5, 4)
+    return dropout.Encoder(pieces.load(), rate, 5)
 
 
 @pytest.fixture(scope="module")
@@ -53,23 +53,49 @@ def test_agendas_side_by_side_merge_as_one_alone(model):
 
     r = random.Random(2)
     words = ["▁" + "".join(r.choices("theraniongsdé.", k=r.randint(1, 31))) for _ in range(2000)] + ["▁" * 16, "▁" * 9 + "the"]
+    words += ["▁x\n", "▁漢", "▁" + "long" * 12]
     for rate in (0.0, 0.1, 0.5, 1.0):
-        encoder = dropout.Encoder(model, rate, 3, 1)
-        for w in words:
-            encoder.known[0][w]
-        encoder._learn()
-        for k, w in enumerate(words):
-            key = dropout.xxhash.xxh32_intdigest(w.encode(), encoder.keys[0])
-            at = encoder.known[0][w]
-            assert encoder.flat[encoder.start[at] : encoder.start[at] + encoder.size[at]].tolist() == encoder._alone(w, key), (rate, w)
+        encoder = dropout.Encoder(model, rate, 3)
+        index = np.array([encoder.known[w] for w in words] * 3)[r.sample(range(3 * len(words)), 2 * len(words))]
+        keys = np.array([r.getrandbits(32) for _ in index], np.uint32)
+        for low, high in ((0, 1500), (1500, len(index))):  # runs seen once, then again
+            found, size = encoder.block(index[low:high], keys[low:high])
+            parts = np.split(found, np.cumsum(size)[:-1])
+            for k, key, part in zip(index[low:high].tolist(), keys[low:high].tolist(), parts):
+                assert part.tolist() == encoder._alone(encoder.names[k], key), (rate, encoder.names[k])
 
 
 def test_seeds_vary(model):
     text = "the tokenization of several words varies between seeds " * 5
-    cuts = {dropout.Encoder(model, 0.2, seed, 4).text(text, 1) for seed in range(5)}
-    assert len(cuts) > 1
-    assert dropout.Encoder(model, 0.2, 3, 4).text(text, 1) == dropout.Encoder(model, 0.2, 3, 4).text(text, 1)
-    assert len(dropout.Encoder(model, 0.2, 3, 4).text(text, 1)) > len(dropout.Encoder(model, 0, 3, 4).text(text, 1))
+    cuts = {dropout.Encoder(model, 0.2, seed).text(text, 1) for seed in range(5)}
+    assert len(cuts) == 5
+    assert dropout.Encoder(model, 0.2, 3).text(text, 1) == dropout.Encoder(model, 0.2, 3).text(text, 1)
+    assert dropout.Encoder(model, 0.2, 3).text(text, 1) != dropout.Encoder(model, 0.2, 3).text(text, 2)
+    assert len(dropout.Encoder(model, 0.2, 3).text(text, 1)) > len(dropout.Encoder(model, 0, 3).text(text, 1))
+
+
+def test_every_occurrence_is_cut_afresh(model):
+    n, word = 4000, "tokenization"
+    encoder = dropout.Encoder(model, 0.1, 17)
+    encoder.batch(["some other text"], [7])
+    found, ends = encoder.batch([" ".join([word] * n)], [1])
+    decoder = dropout.Decoder(model)
+    assert decoder.text(found) == " ".join([word] * n)
+    whole, size = encoder.block(np.full(n, encoder.known[word]), dropout._mixed(np.arange(n, dtype=np.uint32)))
+    kinds = {tuple(x) for x in np.split(whole, np.cumsum(size)[:-1])}
+    assert len(kinds) > 20
+    keys, merges = dropout._mixed(np.arange(n, dtype=np.uint32)), encoder.merges.take(np.array([encoder.known[word]]))[0]
+    skipped = dropout._skips(np.repeat(keys, len(merges)), np.tile(merges, n), 0.1).reshape(n, -1)
+    assert np.abs(skipped.mean(0) - 0.1).max() < 0.02 and abs((~skipped).all(1).mean() - 0.9 ** len(merges)) < 0.03
+
+
+def test_blocks_and_memory_make_no_difference(model, monkeypatch):
+    text = " ".join(f"word{k % 91} again" for k in range(3000)) + "  x\n"
+    want = dropout.Encoder(model, 0.1, 17).text(text, 5)
+    monkeypatch.setattr(dropout, "BLOCK", 100)
+    monkeypatch.setattr(dropout, "REMEMBERED", 50)
+    encoder = dropout.Encoder(model, 0.1, 17)
+    assert encoder.text("word1 word2", 4) and encoder.text(text, 5) == want and encoder.text(text, 5) == want
 
 
 def test_tables(spark, library):
