@@ -33,8 +33,11 @@ def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(step, schema)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys, which are the first columns and hold no nulls; runs may span batches."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, whole: bool = True) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, which are the first columns and hold no nulls; runs may span batches.
+
+    With whole unset a run comes batch by batch, and is never held as a whole.
+    """
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
     for batch in batches:
@@ -44,7 +47,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
         for a, b in pairwise([0, *cuts.tolist(), len(batch)]):
             own = tuple(c[a] for c in columns)
-            if held and own != last:
+            if held and (own != last or not whole):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))

@@ -27,7 +27,7 @@ def test_top_k(spark, monkeypatch, shard, block, leaf):
     r = random.Random(1)
     rows = [(i, [r.choice([-1.0, 0.5, r.gauss(0, 1)]) for _ in range(8)]) for i in range(300)]
     rows += [(i, rows[5][1]) for i in range(300, 340)]
-    rows += [(40, None), (60, [None] * 8), (80, [float("nan")] * 8), (400, [float("inf")] * 8), (None, [1.0] * 8), (20, rows[3][1]), (7, rows[7][1]), (420, [0.1, 0.2]), (421, [0.3, -0.2]), (440, []), (441, [])]
+    rows += [(40, None), (60, [None] * 8), (80, [float("nan")] * 8), (400, [float("inf")] * 8), (None, [1.0] * 8), (20, rows[3][1]), (20, [-5.0]), (7, rows[7][1]), (420, [0.1, 0.2]), (421, [0.3, -0.2]), (440, []), (441, [])]
     table = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
     assert sorted(map(tuple, kdtree.top_k(table).collect())) == plain(rows)
     assert kdtree.top_k(table.limit(0)).count() == 0
@@ -43,15 +43,35 @@ def test_tree_prunes():
     r = np.random.default_rng(0)
     points = (r.normal(size=(4000, 3)) * 64).round()
     tree = kdtree.Tree(np.arange(4000), points, 32)
-    opened = []
-    whole = tree.vectors
-    class Seen(np.ndarray):
-        def __getitem__(self, key):
-            opened.append(1)
-            return super().__getitem__(key)
-    tree.vectors = whole.view(Seen)
-    q = points[0]
-    ids, scores = tree.search(q, 0, tree.bounds(q[None])[0].tolist(), 5, float("-inf"))
-    best = np.lexsort((np.arange(4000), -(whole @ q)))
-    assert ids.tolist() == [i for i in best if i][:5]
-    assert len(opened) < 60
+    who, ids, scores, opened = tree.search(points[:50], np.arange(50), 5, np.full(50, -np.inf))
+    for q in range(50):
+        best = np.lexsort((np.arange(4000), -(points @ points[q])))
+        assert ids[who == q].tolist() == [i for i in best if i != q][:5]
+    assert opened < 50 * len(tree.rows) / 4
+    floors = np.array([scores[who == q][-1] for q in range(50)])
+    again = tree.search(points[:50], np.arange(50), 5, floors)
+    assert again[1].tolist() == ids.tolist() and again[3] <= opened
+
+
+def test_splits_halve():
+    r = np.random.default_rng(0)
+    points = (r.normal(size=(5000, 4)) * 64).round().astype(np.int64)
+    splits = kdtree.Splits(points[:2000], 16)
+    many = np.bincount(splits.place(points), minlength=16)
+    assert splits.cells == 16 and many.min() > 5000 / 16 / 2 and many.max() < 5000 / 16 * 2
+    assert kdtree.Splits(points[:1], 16).cells == kdtree.Splits(np.zeros((9, 4), np.int64), 16).cells == 1
+
+
+def test_queries_travel_only_where_bounds_reach(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 50)
+    kept = {}
+    monkeypatch.setattr(kdtree, "written", lambda df, name, real=kdtree.written: kept.setdefault(name, real(df, name)))
+    r = random.Random(4)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(16)]
+    rows = [(i, [c + r.gauss(0, 0.05) for c in centres[i % 16]]) for i in range(1600)]
+    rows += [(2000 + i, rows[7][1]) for i in range(300)]  # one very common vector
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, kdtree.top_k(table).collect())) == plain(rows)
+    shards = sum(x.shards for x in kept["shards"].collect())
+    queries = kept["vector-queries"].count()
+    assert shards >= 32 and kept["away-queries"].count() < 0.5 * queries * shards
