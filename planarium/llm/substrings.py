@@ -1,14 +1,17 @@
 """Repeated passages between documents, removed word by word.
 
 Documents lie in buckets of bounded size. Of every window of `window` words an anchor is taken, the least hash of the
-phrases in it, so that equal windows have equal anchors and neighbouring windows mostly share one. Three rounds follow,
-and what travels between them is one entry for each bucket and hash, however often a passage recurs in the bucket:
+phrases in it, so that equal windows have equal anchors and neighbouring windows mostly share one. What travels between
+the rounds is one entry for each bucket and hash, however often a passage recurs in the bucket:
 
 1. anchors meet in shards; those of two or more documents go back to their buckets;
-2. the windows at such anchors meet in shards; those of two or more documents are confirmed and go back, with the
-   smallest doc_id, to the buckets where they have to be removed;
-3. each bucket compiles the passages that its confirmed windows make up to Aho-Corasick automata over words, and all
-   its documents stream through them. Only what an automaton finds, word for word, is removed.
+2. the windows at such anchors meet in shards; of those that two or more documents hold, the bucket with the first
+   document learns which buckets have to remove them;
+3. the first document's bucket cuts the passages that these windows make up and sends their words to those buckets;
+4. each bucket compiles automata (Aho-Corasick over words) from the rarest phrases of the passages that it got, and all its
+   documents stream through them. Around every phrase found, document and passage are compared word by word.
+
+So hashes only propose: what is removed stands, word for word, in the first document.
 """
 
 from __future__ import annotations
@@ -17,21 +20,23 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import arrow, prepare
 
 #: UTF-8 bytes of text to a bucket, and as much again in entries to a shard.
 BUCKET_BYTES = 8 << 20
-#: Words to an automaton (at most 64 ** 3), and to one of its patterns.
-PATTERN_WORDS, STRETCH = 250_000, 64
+#: Words of passages to an automaton (at most 64 ** 3), words to a stretch of a passage, words compared at once.
+PATTERN_WORDS, STRETCH, CELLS = 250_000, 64, 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -109,7 +114,8 @@ def _spans(columns: list[np.ndarray], docs: np.ndarray) -> tuple[list[np.ndarray
 
 
 _ENTRIES = "shard int, bucket int, name binary, check binary, least binary, reach binary"
-_REPLIES = "bucket int, name binary, check binary, least binary"
+_REPLIES = "bucket int, name binary, check binary, least binary, target binary"
+_PASSAGES = "least long, words binary, targets array<int>"
 
 
 def _entries(bucket: int, shards: int, names: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> pa.Table:
@@ -131,8 +137,8 @@ def _entries(bucket: int, shards: int, names: list[np.ndarray], least: np.ndarra
     )
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket, those of its entries that two or more documents hold, where one of its own is not the first."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each shard its entries in order of their names, then of doc_ids: (start of each name, name, check, least, most, bucket)."""
     shards: dict[int, list] = {}
     for batch in batches:
         for row in batch.to_pylist():
@@ -142,27 +148,41 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = np.concatenate([np.frombuffer(r["check"], np.uint32) for r in rows])
         least = np.concatenate([_unplanes(r["least"]) for r in rows])
         most = least + np.concatenate([_unplanes(r["reach"]) for r in rows])
-        bucket = np.repeat([r["bucket"] for r in rows], [len(r["name"]) // 8 for r in rows])
-        paired = len(check) > 0
-        order = np.lexsort((check, name)) if paired else np.argsort(name, kind="stable")
-        name, least, most, bucket = name[order], least[order], most[order], bucket[order]
+        bucket = np.repeat(np.array([r["bucket"] for r in rows], np.int32), [len(r["name"]) // 8 for r in rows])
+        if not len(check):
+            check = np.zeros(len(name), np.uint32)
+        order = np.lexsort((bucket, least, check, name))
+        name, check, least, most, bucket = (x[order] for x in (name, check, least, most, bucket))
         new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        if paired:
-            check = check[order]
-            new[1:] |= check[1:] != check[:-1]
-        start = np.flatnonzero(new)
+        new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
+        yield np.flatnonzero(new), name, check, least, most, bucket
+
+
+def _replies(to: np.ndarray, name: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _REPLIES, one for each bucket of `to`; rest is check, least and target, or nothing."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        told = [x[own].tobytes() for x in rest] or [b""] * 3
+        yield pa.record_batch([pa.array([int(to[own[0]])], pa.int32()), *(pa.array([x], pa.binary()) for x in (name[own].tobytes(), *told))], ["bucket", "name", "check", "least", "target"])
+
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each bucket those of its anchors that two or more documents hold."""
+    for start, name, _, least, most, bucket in _shards(batches):
         size = np.diff(np.r_[start, len(name)])
         first, last = (np.repeat(f.reduceat(x, start), size) for f, x in ((np.minimum, least), (np.maximum, most)))
-        # the first document's own bucket needs an anchor too, as its windows have to meet the others
-        kept = np.flatnonzero((first < last) & ((most > first) | (not paired)))
-        kept = kept[np.argsort(bucket[kept], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[kept]) != 0]) if len(kept) else []
-        for own in np.split(kept, cuts[1:]) if len(kept) else []:
-            yield pa.record_batch(
-                [pa.array([int(bucket[own[0]])], pa.int32()), pa.array([name[own].tobytes()], pa.binary()), pa.array([check[own].tobytes() if paired else b""], pa.binary()), pa.array([_planes(first[own])], pa.binary())],
-                ["bucket", "name", "check", "least"],
-            )
+        kept = np.flatnonzero(first < last)
+        yield from _replies(bucket[kept], name[kept])
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the bucket with the first document of a window: the window and each bucket that has to remove it."""
+    for start, name, check, least, most, bucket in _shards(batches):
+        size = np.diff(np.r_[start, len(name)])
+        first, home = np.repeat(least[start], size), np.repeat(bucket[start], size)
+        kept = np.flatnonzero(most > first)
+        yield from _replies(home[kept], name[kept], check[kept], first[kept], bucket[kept])
 
 
 def _joined(replies: pa.Table, column: str, kind: type) -> np.ndarray:
@@ -177,58 +197,122 @@ def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
-def covered(words: list[list[bytes]], docs: np.ndarray, patterns: list[tuple[list[bytes], int]]) -> list[np.ndarray]:
-    """For each document, which of its words lie in a pattern whose doc_id is smaller than its own.
+def _passages(found: Windows, replies: pa.Table) -> pa.Table:
+    """The words of the confirmed windows that this bucket's documents are the first to hold, and who needs them.
 
-    An automaton's nodes look their branches up one by one, so a word is three characters, each one of 64 of its own.
+    Each window is sent once, from its first place in the document. A run of neighbouring windows that the same buckets
+    need is a passage; it goes in stretches of STRETCH words that overlap by a window less a word.
+    """
+    name, check, least, target = (_joined(replies, c, k) for c, k in (("name", np.uint64), ("check", np.uint32), ("least", np.int64), ("target", np.int32)))
+    order = np.lexsort((target, check, name))
+    name, check, least, target = (x[order] for x in (name, check, least, target))
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(name)]
+    asking = np.add.reduceat(_mix(target.astype(np.uint64) + _A), start) if len(start) else np.zeros(0, np.uint64)
+    a, b = found.names()
+    at = _found(a, name[start])
+    hit = np.flatnonzero(at >= 0)
+    at = at[hit]
+    while (wrong := np.flatnonzero(check[start[at]] != b[hit])).size:  # equal names with another check lie side by side
+        more = at[wrong] + 1
+        open_ = (more < len(start)) & (name[start[np.minimum(more, len(start) - 1)]] == a[hit[wrong]])
+        at[wrong[open_]] += 1
+        keep = np.ones(len(hit), bool)
+        keep[wrong[~open_]] = False
+        hit, at = hit[keep], at[keep]
+    own = found.of[hit] == least[start[at]]
+    at, one = np.unique(at[own], return_index=True)
+    place = found.at[hit[own][one]]
+    order = np.argsort(place)
+    at, place = at[order], place[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(place) != 1) | (asking[at[1:]] != asking[at[:-1]])
+    runs = np.flatnonzero(new)
+    window, wide = found.window, max(STRETCH, found.window)
+    docs = np.searchsorted(found.starts, place[runs], "right") - 1
+    rows: list[list] = [[], [], []]
+    for k, low, n, doc in zip(at[runs].tolist(), place[runs].tolist(), np.diff(np.r_[runs, len(at)]).tolist(), docs.tolist()):
+        words, low = found.words[doc], low - int(found.starts[doc])
+        for first in range(low, low + n, wide - window + 1):
+            rows[0].append(int(found.docs[doc]))
+            rows[1].append(b" ".join(words[first : min(first + wide, low + n + window - 1)]))
+            rows[2].append(target[start[k] : end[k]])
+    ends = np.r_[0, np.cumsum([len(x) for x in rows[2]], dtype=np.int64)]
+    targets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows[2]])))
+    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), targets], ["least", "words", "targets"])
+
+
+def _spelled(codes: np.ndarray) -> str:
+    """Three characters a word, each one of 64 of its own, as an automaton's nodes look their branches up one by one."""
+    parts = np.stack([0x100 + (codes & 63), 0x200 + (codes >> 6 & 63), 0x300 + (codes >> 12)], 1)
+    parts[codes < 0] = 1
+    return parts.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def covered(words: list[list[bytes]], docs: np.ndarray, passages: list[tuple[list[bytes], int]], window: int, phrase: int) -> list[np.ndarray]:
+    """For each document, which of its words lie in a window that also stands in a passage whose doc_id is smaller.
+
+    Every window of a passage holds a phrase that is a pattern of the automaton: the one that the passages repeat least.
     """
-    out = [np.zeros(len(w) + 1, np.int64) for w in words]
-    digits = [[chr(base + k) for k in range(64)] for base in (0x100, 0x200, 0x300)]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    every = [w for own in words for w in own]
+    marks = np.zeros(len(every) + 1, np.int64)
     low = 0
-    while low < len(patterns):
-        codes: dict[bytes, str] = {}
-        automaton, taken = ahocorasick.Automaton(), 0
-        while low < len(patterns) and (not taken or taken + len(patterns[low][0]) <= PATTERN_WORDS):
-            sequence, least = patterns[low]
-            for w in sequence:
-                if w not in codes:
-                    k = len(codes)
-                    codes[w] = digits[0][k & 63] + digits[1][k >> 6 & 63] + digits[2][k >> 12]
-            automaton.add_word("".join([codes[w] for w in sequence]), (len(sequence), least))
-            taken += len(sequence)
-            low += 1
+    while low < len(passages) and len(every):
+        high, taken = low, 0
+        while high < len(passages) and (high == low or taken + len(passages[high][0]) <= PATTERN_WORDS):
+            taken += len(passages[high][0])
+            high += 1
+        codes: dict[bytes, int] = {}
+        flat = np.array([codes.setdefault(w, len(codes)) for own, _ in passages[low:high] for w in own], np.int64)
+        size = np.array([len(own) for own, _ in passages[low:high]], np.int64)
+        least = np.array([d for _, d in passages[low:high]], np.int64)
+        low = high
+        start = np.cumsum(size) - size
+        left = np.repeat(start + size, size) - np.arange(len(flat))  # words from here to the passage's end
+        _, kind, many = np.unique(_rolled(_mix(flat.astype(np.uint64) + _A), phrase, _B), return_inverse=True, return_counts=True)
+        common = np.r_[many[kind], np.full(len(flat) - len(kind), len(flat))]
+        at = np.flatnonzero(left >= window)
+        rarest = np.stack([common[at + j] for j in range(window - phrase + 1)]).argmin(0)
+        seeds = np.unique(at + rarest)
+        spelled = _spelled(flat)
+        patterns: dict[str, list[int]] = {}
+        for k in seeds.tolist():
+            patterns.setdefault(spelled[3 * k : 3 * (k + phrase)], []).append(k)
+        automaton = ahocorasick.Automaton()
+        for k, pattern in enumerate(patterns):
+            automaton.add_word(pattern, k)
         automaton.make_automaton()
-        find = codes.get
-        for own, sequence, doc in zip(out, words, docs.tolist()):
-            for end, (size, least) in automaton.iter("".join([find(w, "\x01\x01\x01") for w in sequence])):
-                if least < doc:
-                    own[end // 3 - size + 1] += 1
-                    own[end // 3 + 1] -= 1
-    return [np.cumsum(x[:-1]) > 0 for x in out]
-
-
-def passages(found: Windows, hit: np.ndarray, least: np.ndarray) -> list[tuple[list[bytes], int]]:
-    """The word sequences to remove: each run of confirmed windows with one first document, in overlapping stretches.
-
-    Stretches have STRETCH words (a shorter run has one stretch, its own length; the last one ends with the run), so
-    that periodic text gives few different ones, and each window of the run lies in one of them.
-    """
-    window = found.window
-    at = found.at[hit]
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(least) != 0)
-    start = np.flatnonzero(new)
-    size = np.diff(np.r_[start, len(at)]) + window - 1
-    doc = np.searchsorted(found.starts, at[start], "right") - 1
-    step = max(1, STRETCH - window + 1)
-    out: dict[tuple, int] = {}
-    for d, a, n, first in zip(doc.tolist(), (at[start] - found.starts[doc]).tolist(), size.tolist(), least[start].tolist()):
-        words = found.words[d]
-        wide = max(STRETCH, window)
-        for low in range(a, a + max(1, n - window + 1), step):
-            low = max(a, min(low, a + n - wide))
-            out[tuple(words[low : min(low + wide, a + n)])] = first
-    return [(list(k), v) for k, v in out.items()]
+        text = np.fromiter(map(codes.get, every, repeat(-1)), np.int64, len(every))
+        found = np.array(list(automaton.iter(_spelled(text))), np.int64).reshape(-1, 2)
+        places = list(patterns.values())
+        times = np.array([len(x) for x in places], np.int64)
+        first = np.cumsum(times) - times
+        flat_places = np.array([x for own in places for x in own], np.int64)
+        hit, kind = found[:, 0] // 3 - phrase + 1, found[:, 1]
+        for block in np.array_split(np.arange(len(hit)), max(1, int(times[kind].sum()) * STRETCH // CELLS)):
+            n = times[kind[block]]
+            seed = flat_places[np.repeat(first[kind[block]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            own = np.searchsorted(start, seed, "right") - 1
+            doc = np.searchsorted(ends, np.repeat(hit[block], n), "right")
+            begin = np.repeat(hit[block], n) - (seed - start[own])  # where the whole passage would start
+            good = least[own] < docs[doc]
+            if not good.any():
+                continue
+            begin, own, doc = np.unique(np.stack([begin[good], own[good], doc[good]]), axis=1)
+            wide = np.arange(int(size[own].max()))[None, :]
+            there = begin[:, None] + wide
+            same = (wide < size[own][:, None]) & (there >= (ends - sizes)[doc][:, None]) & (there < ends[doc][:, None])
+            same &= text[np.clip(there, 0, len(text) - 1)] == flat[np.minimum(start[own][:, None] + wide, len(flat) - 1)]
+            upto = np.concatenate([np.zeros((len(own), 1), np.int64), same.cumsum(1)], 1)
+            row, col = np.nonzero(upto[:, window:] - upto[:, :-window] == window)
+            np.add.at(marks, begin[row] + col, 1)
+            np.add.at(marks, begin[row] + col + window, -1)
+    gone = np.cumsum(marks[:-1]) > 0
+    return np.split(gone, ends[:-1]) if len(words) else []
 
 
 def _cut(text: str, words: list[bytes], gone: np.ndarray) -> tuple[str, str]:
@@ -246,25 +330,25 @@ def _cut(text: str, words: list[bytes], gone: np.ndarray) -> tuple[str, str]:
     return b"".join(out).lstrip().decode(), hashlib.sha256(stay).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_sha256")) -> DataFrame:
     """All columns of docs (doc_id, text and any others) and n_words, n_removed, kept_sha256, one row for each row.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller doc_id; windows
     are judged on the texts as they came. text is what stays, with the white space between kept neighbours as it was;
     a text that loses nothing is unchanged. kept_sha256 is that of the kept words joined by single spaces. A null or
     empty text has no words and comes back as it was, with the hash of nothing. Rows of one doc_id never remove each
-    other's words. A row with a null doc_id is unchanged and removes nothing. A column of docs that is called
-    n_words, n_removed or kept_sha256 is replaced. No rows give no rows.
+    other's words. A row with a null doc_id is unchanged and removes nothing. A column of docs that has one of the new
+    columns' `names` is replaced; other names keep it. No rows give no rows.
     """
     spark = prepare(docs.sparkSession)
-    names = ("n_words", "n_removed", "kept_sha256")
     others = [c for c in docs.columns if c not in ("doc_id", "text", *names)]
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     rest = [F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("rest")] if others else []
-    base = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(count)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest
-    ).repartition(count, "bucket")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest]
+    # rows of one doc_id, if their texts differ, lie in several buckets
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(count)).cast("int").alias("bucket")
+    base = docs.where("doc_id is not null").select(bucket, *columns).repartition(count, "bucket")
 
     def first(table: pa.Table) -> pa.Table:
         found = Windows(table.column("text"), table.column("doc_id"), window)
@@ -283,47 +367,47 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7) -> DataFr
         return _entries(table.column("bucket")[0].as_py(), count, entries, least, most)
 
     def third(table: pa.Table, replies: pa.Table) -> pa.Table:
+        wanted = pa.array(np.unique(_joined(replies, "least", np.int64)) if replies.num_rows else np.zeros(0, np.int64))
+        table = table.filter(pc.is_in(table.column("doc_id"), wanted))
         found = Windows(table.column("text"), table.column("doc_id"), window, keep=True)
-        patterns = []
-        if replies.num_rows:
-            name, check = _joined(replies, "name", np.uint64), _joined(replies, "check", np.uint32)
-            least = np.concatenate([_unplanes(x.as_py()) for x in replies.column("least")])
-            order = np.lexsort((check, name))
-            name, check, least = name[order], check[order], least[order]
-            a, b = found.names()
-            at = _found(a, name)
-            hit = np.flatnonzero(at >= 0)
-            at = at[hit]
-            while (wrong := np.flatnonzero(check[at] != b[hit])).size:  # equal names with another check lie side by side
-                more = at[wrong] + 1
-                open_ = (more < len(name)) & (name[np.minimum(more, len(name) - 1)] == a[hit[wrong]])
-                at[wrong[open_]] += 1
-                keep = np.ones(len(hit), bool)
-                keep[wrong[~open_]] = False
-                hit, at = hit[keep], at[keep]
-            later = least[at] < found.of[hit]
-            patterns = passages(found, hit[later], least[at[later]])
-        known = np.array([x.is_valid for x in table.column("doc_id")], bool)
-        gone = covered(found.words, np.where(known, found.docs, np.iinfo(np.int64).min), patterns)
+        return _passages(found, replies) if replies.num_rows else pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))], ["least", "words", "targets"])
+
+    def finished(table: pa.Table, words: list[list[bytes]], gone: list[np.ndarray]) -> dict[str, pa.Array]:
         kept, digest = [], []
-        for text, words, g in zip(table.column("text"), found.words, gone):
+        for text, own, g in zip(table.column("text"), words, gone):
             value = text.as_py()
-            cut, h = _cut(value or "", words, g)
+            cut, h = _cut(value or "", own, g)
             kept.append(None if value is None else cut)
             digest.append(h)
-        columns = {"doc_id": table.column("doc_id"), "text": pa.array(kept, pa.string())}
+        out = {"doc_id": table.column("doc_id"), "text": pa.array(kept, pa.string())}
         if "rest" in table.column_names:
-            columns["rest"] = table.column("rest")
-        columns |= {"n_words": pa.array(found.sizes, pa.int64()), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-        return pa.table(columns)
-
-    def confirmed(entries: DataFrame) -> DataFrame:
-        return entries.repartition(count, "shard").mapInArrow(_recurring, _REPLIES)
-
-    shared = confirmed(base.groupBy("bucket").applyInArrow(first, _ENTRIES))
-    windows = confirmed(base.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(second, _ENTRIES))
+            out["rest"] = table.column("rest")
+        sizes = ([len(w) for w in words], [int(g.sum()) for g in gone])
+        return out | {"words": pa.array(sizes[0], pa.int64()), "removed": pa.array(sizes[1], pa.int64()), "digest": pa.array(digest, pa.string())}
+
+    def fourth(table: pa.Table, passages: pa.Table) -> pa.Table:
+        words = [(text.as_py() or "").encode().split() for text in table.column("text")]
+        sent = [(w.split(b" "), d) for w, d in zip(passages.column("words").to_pylist(), passages.column("least").to_pylist())]
+        gone = covered(words, table.column("doc_id").to_numpy(), sent, window, phrase)
+        return pa.table(finished(table, words, gone))
+
+    def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            words = [(text.as_py() or "").encode().split() for text in table.column("text")]
+            yield from pa.table(finished(table, words, [np.zeros(len(w), bool) for w in words])).to_batches()
+
+    def met(entries: DataFrame, step) -> DataFrame:
+        return entries.repartition(count, "shard").mapInArrow(step, _REPLIES).groupBy("bucket")
+
+    shared = met(base.groupBy("bucket").applyInArrow(first, _ENTRIES), _recurring)
+    windows = met(base.groupBy("bucket").cogroup(shared).applyInArrow(second, _ENTRIES), _confirmed)
+    sent = base.groupBy("bucket").cogroup(windows).applyInArrow(third, _PASSAGES)
+    sent = sent.select("least", "words", F.explode("targets").alias("bucket"))
     schema = T.StructType([f for f in base.schema.fields if f.name != "bucket"])
-    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    out = base.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInArrow(third, schema)
+    schema = schema.add("words", "long").add("removed", "long").add("digest", "string")
+    out = base.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(fourth, schema)
+    out = out.union(arrow(docs.where("doc_id is null").select(*columns), unnamed, schema))
     back = {c: F.col(f"rest.c{k}").alias(c) for k, c in enumerate(others)}
-    return out.select(*(back.get(c, F.col(f"`{c}`")) for c in docs.columns if c not in names), *names)
+    made = [F.col(c).alias(n) for c, n in zip(("words", "removed", "digest"), names)]
+    return out.select(*(back.get(c, F.col(c)) for c in docs.columns if c not in names), *made)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from planarium.llm import substrings
@@ -64,6 +65,27 @@ def test_against_plain(spark, monkeypatch, seed, words, stretch):
     assert any(r.n_removed for r in got)
 
 
+def test_only_words_decide(spark, monkeypatch):
+    """Windows that all have one name are proposed for one another, and nothing goes that isn't in the first document."""
+    monkeypatch.setattr(substrings.Windows, "names", lambda self, chosen=slice(None): (np.zeros(len(self.at[chosen]), np.uint64), np.zeros(len(self.at[chosen]), np.uint32)))
+    docs = [(k, " ".join(f"{c}{n}" for n in range(40)), "x") for k, c in enumerate("abcdea")]
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string, n_words string"), names=("w", "r", "h"))
+    assert got.columns == ["doc_id", "text", "n_words", "w", "r", "h"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [rows[k].r for k in range(5)] == [0] * 5 and {r.n_words for r in rows.values()} == {"x"}
+
+
+def test_a_passage_of_which_documents_hold_parts():
+    words = [f"w{k}".encode() for k in range(200)]
+    docs = [words[3:16], words[10:40] + [b"z"] + words[40:60], words[150:], [b"z"] * 5, words[20:32], words]
+    passages = [(words[k : k + 64], 5) for k in range(0, 188, 52)]
+    got = substrings.covered(docs, np.array([9, 9, 7, 6, 8, 5]), passages, 13, 7)
+    assert [int(g.sum()) for g in got] == [13, 50, 50, 0, 0, 0] and not got[1][30]
+    repeated = [[b"a"] * 300, [b"a"] * 12, [b"a", b"b"] * 30]
+    got = substrings.covered(repeated, np.array([2, 3, 4]), [([b"a"] * 13, 1), ([b"b", b"a"] * 7, 1)], 13, 7)
+    assert [int(g.sum()) for g in got] == [300, 0, 60]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_words string")
     assert substrings.remove_repeats(docs).count() == 0
