@@ -40,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     name; rows that repeat lose the same words. No rows give no rows.
     """
     names = ["n_words", "n_removed", "kept_sha256"]
-    while set(names) & set(docs.columns):
+    while set(names) & {c.lower() for c in docs.columns}:
         names = [f"{name}_" for name in names]
     found = substrings.remove_repeats(docs, names=tuple(names))
     if "n_chars" in docs.columns:
