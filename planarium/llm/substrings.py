@@ -341,7 +341,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
     columns' `names` is replaced; other names keep it. No rows give no rows.
     """
     spark = prepare(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("doc_id", "text", *names)]
+    taken = {"doc_id", "text", *(n.lower() for n in names)}
+    others = [c for c in docs.columns if c.lower() not in taken]
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     rest = [F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("rest")] if others else []
@@ -410,4 +411,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
     out = out.union(arrow(docs.where("doc_id is null").select(*columns), unnamed, schema))
     back = {c: F.col(f"rest.c{k}").alias(c) for k, c in enumerate(others)}
     made = [F.col(c).alias(n) for c, n in zip(("words", "removed", "digest"), names)]
-    return out.select(*(back.get(c, F.col(c)) for c in docs.columns if c not in names), *made)
+    return out.select(*(back.get(c, F.col(c).alias(c)) for c in docs.columns if c in back or c.lower() in ("doc_id", "text")), *made)

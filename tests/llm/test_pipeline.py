@@ -63,3 +63,27 @@ def test_each_stage_against_plain(spark, steps):
         assert not (leaks and d in clean)
     for r in steps[-1].collect():
         assert r.lossless and r.text_sha256 == hashlib.sha256((clean[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_edges_of_every_stage(spark):
+    path = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{path}/documents.parquet").orderBy("doc_id").limit(25).collect()
+    long = " ".join(f"word{k % 977}" for k in range(60000))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in given]
+    rows += [(900, None, "en", None, 0), (901, "", None, "s", None), (None, given[0].text, "en", "s", 7), (902, long, "en", "s", len(long)), (None, None, None, None, None), rows[3], rows[3]]
+    docs = spark.createDataFrame([(*r, "mine", k % 3, [k], "x", 1.5) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, n_words string, root int, Kept_SHA256 array<int>, told string, bucket double")
+    for name, stage in p.STAGES:
+        found = stage(spark, docs, path)
+        none = stage(spark, docs.limit(0), path)
+        assert none.count() == 0 and none.columns == found.columns
+        if name == "sentencepiece":
+            assert found.count() == len(rows) and found.where("not lossless").count() == 0
+            continue
+        assert found.columns == docs.columns and found.schema == docs.schema
+        got = found.collect()
+        assert got and all(r.n_words == "mine" and r.told == "x" and r.bucket == 1.5 for r in got)
+        if name == "near_dedup":
+            assert sum(r.doc_id is None for r in got) == 2 and len([r for r in got if r.doc_id in (900, 901)]) == 1
+            assert len([r for r in got if r.doc_id == rows[3][0]]) <= 1
+        if name == "substring_dedup":
+            assert len(got) == len(rows) and sum(r.text is None for r in got) == 2

@@ -46,3 +46,47 @@ def test_held_out(spark):
 def test_query_has_all_rows(spark):
     got = op9_quality(spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def _loss(weights, theta, rows, grades, levels=3):
+    score = np.array([weights[x].sum() for x in rows])
+    edges = np.r_[-60.0, theta, 60.0]
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    return -np.log(np.maximum(sigmoid(edges[grades + 1] - score) - sigmoid(edges[grades] - score), 1e-9)).mean()
+
+
+def _plain(rows, grades, columns, steps=400):
+    """Projected gradient descent on the whole of the loss by finite differences; words' weights are at most 0."""
+    x, theta = np.zeros(quality.SIZE), np.array([-1.0, 1.0])
+    for n in range(steps):
+        pace = 1.0 if n < steps // 2 else 0.3
+        base = _loss(x, theta, rows, grades)
+        slope = {}
+        for c in columns:
+            x[c] += 1e-4
+            slope[c] = (_loss(x, theta, rows, grades) - base) / 1e-4
+            x[c] -= 1e-4
+        turn = np.array([(_loss(x, theta + 1e-4 * (np.arange(2) == k), rows, grades) - base) / 1e-4 for k in range(2)])
+        for c, s in slope.items():
+            x[c] = x[c] - pace * s if c >= 1 << quality.BITS else min(0, x[c] - pace * s)
+        theta = np.sort(theta - pace * turn)
+    return x, theta
+
+
+def test_fit_reaches_the_loss_of_a_plain_optimiser():
+    r = np.random.default_rng(3)
+    words, shapes = [11, 12, 13], [quality.SIZE - 1, quality.SIZE - 2]
+    true = dict(zip(words + shapes, [-2.0, -1.0, 0.0, 1.5, -1.5]))
+    rows, grades = [], []
+    for _ in range(240):
+        own = [c for c in words if r.random() < 0.4] + [shapes[int(r.random() < 0.5)]]
+        score = sum(true[c] for c in own) + r.logistic()
+        rows.append(np.array(own))
+        grades.append(int(np.digitize(score, [-2.0, 0.0])))
+    grades = np.array(grades)
+    x, theta = _plain(rows, grades, words + shapes)
+    model = quality.fit(rows, grades, 3)
+    mine, best = _loss(model.weights.astype(float), model.thresholds, rows, grades), _loss(x, theta, rows, grades)
+    assert mine < best + 0.02, (mine, best)
+    tails = [quality.Model(x, theta).tails(np.array([w[v].sum() for v in rows])) for w in (x, model.weights)]
+    assert np.abs(model.tails(np.array([model.weights[v].sum() for v in rows])) - tails[0]).max() < 0.15
