@@ -9,11 +9,12 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import importable as prepare
 from ..session import shared_root
 
-__all__ = ["arrow", "grouped", "prepare", "read", "shared_path", "shared_root", "written"]
+__all__ = ["arrow", "discard", "grouped", "prepare", "read", "shared_path", "shared_root", "sized", "written"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -28,6 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from written() that everything lazy has done with."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows, which should be a few longs; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(step, schema)

@@ -62,32 +62,28 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, fp long")
 
 
-def _segments(lanes: int, parts: int) -> list[tuple[int, int, int]]:
-    """(lane, first bit, width) of each segment; a lane has parts // lanes of them."""
-    cuts = [64 * k // (parts // lanes) for k in range(parts // lanes + 1)]
-    return [(lane, a, b - a) for lane in range(lanes) for a, b in itertools.pairwise(cuts)]
+def _segments(parts: int) -> list[tuple[int, int]]:
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
 
 
-def _file(classes: DataFrame, node: str, lanes: tuple[str, ...], parts: int, ball: int) -> DataFrame:
-    """(key, node, the lanes, filed): a row under each segment value, and one for each larger value in the ball around it.
+def _file(classes: DataFrame, node: str, fp: str, parts: int, ball: int) -> DataFrame:
+    """(key, node, fp, filed): a row under each segment value, and one for each larger value in the ball around it.
 
     Of two values that differ, only the smaller asks for the larger: each pair meets once.
     """
-    names = list(dict.fromkeys([node, *lanes]))
+    names = list(dict.fromkeys([node, fp]))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = _segments(len(lanes), parts)
-        masks = {
-            width: np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(width), n)], np.uint64)
-            for _, _, width in segments
-        }
+        segments = _segments(parts)
+        masks = [np.array([sum(1 << b for b in flip) for n in range(ball + 1) for flip in itertools.combinations(range(width), n)], np.uint64) for _, width in segments]
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
                 columns = {name: part.column(name).to_numpy(zero_copy_only=False) for name in names}
-                for k, (lane, low, width) in enumerate(segments):
-                    value = (columns[lanes[lane]].view(np.uint64) >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                    asked = value[:, None] ^ masks[width][None, :]
+                for k, (low, width) in enumerate(segments):
+                    value = (columns[fp].view(np.uint64) >> np.uint64(low)) & np.uint64((1 << width) - 1)
+                    asked = value[:, None] ^ masks[k][None, :]
                     rows, cols = np.nonzero(asked >= value[:, None])
                     mixed = (asked[rows, cols] * np.uint64(parts) + np.uint64(k)).view(np.int64)
                     yield pa.record_batch([pa.array(mixed), *(pa.array(columns[name][rows]) for name in names), pa.array(cols == 0)], ["key", *names, "filed"])
@@ -110,14 +106,14 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _meet(node: str, lanes: tuple[str, ...], radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(node: str, fp: str, radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
     key, salt, name, filed = (table.column(c).to_numpy() for c in ("key", "salt", node, "filed"))
     order = np.lexsort((name, ~filed, salt, key))
     key, salt, filed = key[order], salt[order], filed[order]
-    bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in lanes]
+    bits = table.column(fp).to_numpy()[order].view(np.uint64)
     names, number = np.unique(name[order], return_inverse=True)
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
     size = np.diff(np.r_[start, len(key)])
@@ -132,29 +128,25 @@ def _meet(node: str, lanes: tuple[str, ...], radius: int, batches: Iterator[pa.R
         own = rows[at:to]
         left = np.repeat(own, many[own])
         right = np.arange(len(left)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(first[own], many[own])
-        apart = np.zeros(len(left), np.uint8)
-        for lane in bits:  # what one lane alone holds too far apart needs no other
-            apart = apart + np.bitwise_count(lane[left] ^ lane[right])
-            near = np.flatnonzero(apart <= radius)
-            left, right, apart = left[near], right[near], apart[near]
-        root = forest(root[number[left]], root[number[right]], len(names))[root]
+        near = np.bitwise_count(bits[left] ^ bits[right]) <= radius
+        root = forest(root[number[left[near]]], root[number[right[near]]], len(names))[root]
         at = to
     moved = np.flatnonzero(root != np.arange(len(root)))
     yield pa.record_batch([pa.array(names[moved]), pa.array(names[root[moved]])], ["a", "b"])
 
 
-def links(classes: DataFrame, radius: int = 3, parts: int = 2, node: str = "fp", lanes: tuple[str, ...] = ("fp",)) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, parts: int = 2, node: str = "fp", fp: str = "fp") -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of rows `radius` or fewer bits apart.
 
-    classes has a long `node`, which names a row, and longs `lanes`, which are its fingerprint's bits. Rows of one node
-    count as one. The balls of radius // parts around segments find every pair. No rows give no edges.
+    classes has a long `node`, which names a row, and a long `fp`, its fingerprint. Rows of one node count as one. The
+    balls of radius // parts bits around segments find every pair. No rows give no edges.
     """
     spark = prepare(classes.sparkSession)
-    rows = _file(classes, node, lanes, parts, radius // parts)
-    counted = written(_file(classes, node, lanes, parts, 0).groupBy("key").count().where(F.col("count") > BUCKET), "hot-segments")
+    rows = _file(classes, node, fp, parts, radius // parts)
+    counted = written(_file(classes, node, fp, parts, 0).groupBy("key").count().where(F.col("count") > BUCKET), "hot-segments")
     if (hot := counted.count()) and hot <= HOT_ROWS:
         counted = F.broadcast(counted)
-    carried = list(dict.fromkeys([node, *lanes]))
+    carried = list(dict.fromkeys([node, fp]))
     if hot:
         grid = F.ceil(F.col("count") / BUCKET).cast("int")
         own = F.pmod(F.xxhash64(node), F.coalesce(grid, F.lit(1))).cast("int")
@@ -166,9 +158,9 @@ def links(classes: DataFrame, radius: int = 3, parts: int = 2, node: str = "fp",
         rows = filed.union(asking).select("key", *carried, "filed", (F.col("line") * F.col("grid") + F.col("col")).cast("long").alias("salt"))
     else:
         rows = rows.withColumn("salt", F.lit(0).cast("long"))
-    wide = sum(1 + sum(math.comb(w, n) for n in range(1, radius // parts + 1)) // 2 for _, _, w in _segments(len(lanes), parts))
+    wide = sum(1 + sum(math.comb(w, n) for n in range(1, radius // parts + 1)) // 2 for _, w in _segments(parts))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(classes.count() * wide / TASK_ROWS))
-    return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(node, lanes, radius, batches), "a long, b long")
+    return arrow(rows.repartition(tasks, "key", "salt"), lambda batches: _meet(node, fp, radius, batches), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 2) -> DataFrame:

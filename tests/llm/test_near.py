@@ -31,8 +31,8 @@ def made(seed=0):
 def test_links_are_all_pairs(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     texts, _ = made(bucket)
-    fps = [near.fingerprint(t) for t in texts]
-    classes = spark.createDataFrame([(i, *f) for i, f in enumerate(fps)], "node long, low long, high long")
+    fps = [near.fingerprint(near.shingles(t)) for t in texts]
+    classes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
     root = list(range(len(fps)))
 
     def find(x):
@@ -40,14 +40,13 @@ def test_links_are_all_pairs(spark, monkeypatch, bucket):
             x = root[x]
         return x
 
-    for a, b in {tuple(r) for r in simhash.links(classes, near.RADIUS, near.PARTS, "node", ("low", "high")).collect()}:
+    for a, b in {tuple(r) for r in simhash.links(classes, near.RADIUS, near.PARTS, "node", "fp").collect()}:
         root[find(a)] = find(b)
     mine = [find(x) for x in range(len(fps))]
     root = list(range(len(fps)))
-    wide = [(a & (1 << 64) - 1) << 64 | b & (1 << 64) - 1 for a, b in fps]
-    for i, x in enumerate(wide):
-        for j, y in enumerate(wide[:i]):
-            if (x ^ y).bit_count() <= 15:
+    for i, x in enumerate(fps):
+        for j, y in enumerate(fps[:i]):
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= near.RADIUS:
                 root[find(i)] = find(j)
     theirs = [find(x) for x in range(len(fps))]
     assert len(set(zip(mine, theirs))) == len(set(mine)) == len(set(theirs))
@@ -73,6 +72,7 @@ def test_groups_are_those_of_brute_force(spark, monkeypatch, members):
     monkeypatch.setattr(near, "MEMBERS", members)
     monkeypatch.setattr(near, "BLOCK", 300)
     monkeypatch.setattr(near, "PIVOTS", 2)
+    monkeypatch.setattr(near, "BUCKET", 1 if members == 1 else 2048)
     r = random.Random(11)
     vocab = ["".join(r.choices("abcdefghij", k=5)) for _ in range(4000)]
     texts = []
