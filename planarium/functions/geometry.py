@@ -193,3 +193,43 @@ def fold_angle(degrees: Column) -> Column:
 
 def grey(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def heading(dx: Column, dy: Column, dz: Column, degrees: Column) -> tuple[Column, Column, Column]:
+    """A direction turned about the vertical by a camera's heading."""
+    a = F.radians(degrees)
+    return dx * F.cos(a) - dy * F.sin(a), dx * F.sin(a) + dy * F.cos(a), dz
+
+
+def wall_y(x: Column, u: Column, height: int, width: int) -> Column:
+    """Where on the floor plane, in pixels about the middle, the wall at x is seen at longitude u: its y."""
+    return -(x - width / 2 + 0.5) / F.sin(u) * F.cos(u) + height / 2 - 0.5
+
+
+def wall_x(y: Column, u: Column, height: int, width: int) -> Column:
+    """The x of the wall at y at longitude u."""
+    return -(y - height / 2 + 0.5) / F.cos(u) * F.sin(u) + width / 2 - 0.5
+
+
+def segment_normal(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """The unit normal of the great circle through two directions; null where they are one."""
+    n = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    size = F.nullif(norm(*n), F.lit(0.0))
+    return n[0] / size, n[1] / size, n[2] / size
+
+
+def line_at_sides(a: Column, b: Column, c: Column, width: float) -> tuple[Column, Column]:
+    """The y of the line a x + b y + c = 0 at x = 0 and at x = width; null for an upright line."""
+    b = F.nullif(b, F.lit(0.0))
+    return -c / b, -(c + a * width) / b
+
+
+def within_border(x: Column, y: Column, width: int, height: int, margin: int = 3) -> Column:
+    return (x >= margin) & (x < width - margin) & (y >= margin) & (y < height - margin)
+
+
+def look_at_views() -> list[tuple[float, float]]:
+    """(yaw, pitch) in degrees of the crops that cover a sphere: twelve level ones, six up and six down at 45, and the poles."""
+    level = [(-180.0 + 30 * k, 0.0) for k in range(12)]
+    tilted = [(-180.0 + 60 * k, p) for p in (45.0, -45.0) for k in range(6)]
+    return [*level, *tilted, (0.0, 90.0), (0.0, -90.0)]

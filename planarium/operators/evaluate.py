@@ -12,12 +12,16 @@ from ..functions.numbers import ratio
 def corner_scores(pred: DataFrame, truth: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(keys, precision_, recall_, f) from corners (keys, id, x, y).
 
-    A true corner counts once, if it is some prediction's nearest (the first of equals) and within the tolerance.
+    A true corner counts once, if it is some prediction's nearest (the first of equals) and within the tolerance. Only
+    corners that near are ever met: both lie in cells of the tolerance's width, and a prediction asks the nine around.
     """
-    t = truth.select(*keys, F.col("id").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    pairs = pred.join(t, keys).withColumn("d", norm(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    t = truth.select(*keys, F.col("id").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("_i"), cell("y").alias("_j"))
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    asked = pred.withColumn("_o", F.explode(around)).withColumn("_i", cell("x") + F.col("_o.i")).withColumn("_j", cell("y") + F.col("_o.j"))
+    pairs = asked.join(t, [*keys, "_i", "_j"]).withColumn("d", norm(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).where(F.col("d") <= tolerance)
     nearest = pairs.groupBy(*keys, "id").agg(F.min(F.struct("d", "t")).alias("m"))
-    hits = nearest.where(F.col("m.d") <= tolerance).groupBy(*keys).agg(F.countDistinct("m.t").alias("hits"))
+    hits = nearest.groupBy(*keys).agg(F.countDistinct("m.t").alias("hits"))
     sizes = pred.groupBy(*keys).agg(F.count("*").alias("preds")).join(truth.groupBy(*keys).agg(F.count("*").alias("truths")), keys, "full")
     k, p, g = F.coalesce("hits", F.lit(0)), F.coalesce("preds", F.lit(0)), F.coalesce("truths", F.lit(0))
     return sizes.join(hits, keys, "left").select(*keys, ratio(k, p).alias("precision_"), ratio(k, g).alias("recall_"), ratio(2 * k, p + g).alias("f"))
@@ -71,6 +75,11 @@ def to_truth_centre(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataF
     return moved.withColumn("x", F.expr("x - _px + _tx")).withColumn("y", F.expr("y - _py + _ty")).drop("_px", "_py", "_tx", "_ty")
 
 
+def total_loss(losses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total): the sum of the losses (keys, name, value) whose names begin with `total`; 0 without any."""
+    return losses.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("name").startswith("total"), F.col("value"))), F.lit(0.0)).alias("total"))
+
+
 def mean_positive_overlap(scores: DataFrame, iou: str = "iou") -> DataFrame:
     """(n, mean_iou) over the rooms whose overlap is above 0."""
     return scores.agg(F.count_if(F.col(iou) > 0).alias("n"), F.avg(F.when(F.col(iou) > 0, F.col(iou))).alias("mean_iou"))

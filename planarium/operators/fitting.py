@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,22 +42,55 @@ def line_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by:
     return F.abs(bx * (y - ay) - by * (x - ax))
 
 
-def _best_line(x: np.ndarray, y: np.ndarray, within: float, block: int = 1 << 21) -> tuple[int, int, int] | None:
-    """(i, j, inliers) of the line through two of the points with most points near it; the first pair of equals."""
-    first, second = np.triu_indices(len(x), 1)
-    dx, dy = x[second] - x[first], y[second] - y[first]
-    size = np.sqrt(dx * dx + dy * dy)
-    good = np.flatnonzero(size > 0)
-    best = None
-    for at in range(0, len(good), step := max(1, block // max(1, len(x)))):
-        own = good[at : at + step]
-        i, bx, by = first[own], dx[own] / size[own], dy[own] / size[own]
-        near = np.abs(bx[:, None] * (y[None, :] - y[i][:, None]) - by[:, None] * (x[None, :] - x[i][:, None])) <= within
+def _pairs(n: int, block: int, drawn: int | None, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of n places in order, in blocks; if there are more than `drawn`, so many drawn by the seed, in order."""
+    if drawn is not None and n * (n - 1) // 2 > drawn:
+        some = np.sort(np.random.default_rng(seed).integers(0, n, (drawn, 2)), 1)
+        some = np.unique(some[some[:, 0] < some[:, 1]], axis=0)
+        for at in range(0, len(some), block):
+            yield some[at : at + block, 0], some[at : at + block, 1]
+        return
+    low = 0
+    while low < n - 1:
+        high = min(n - 1, low + max(1, block // n))
+        size = n - 1 - np.arange(low, high)
+        first = np.repeat(np.arange(low, high), size)
+        yield first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
+        low = high
+
+
+def _best_line(x: np.ndarray, y: np.ndarray, within: float, weights: tuple[float, float] = (1.0, 0.0), drawn: int | None = None, seed: int = 0, block: int = 1 << 21) -> tuple[int, int, int, float, float] | None:
+    """(i, j, inliers, uniformity, score) of the line through two of the points that scores highest; the first pair of equals.
+
+    The score is the share of points near the line and the uniformity of those along it, by `weights`; scores that agree
+    in nine places are equal.
+    """
+    best, n = None, len(x)
+    for first, second in _pairs(n, max(1, block // max(1, n)), drawn, seed):
+        dx, dy = x[second] - x[first], y[second] - y[first]
+        size = np.sqrt(dx * dx + dy * dy)
+        good = size > 0
+        i, j, bx, by = first[good], second[good], dx[good] / size[good], dy[good] / size[good]
+        if not len(i):
+            continue
+        right, up = x[None, :] - x[i][:, None], y[None, :] - y[i][:, None]
+        near = np.abs(bx[:, None] * up - by[:, None] * right) <= within
         votes = near.sum(1)
-        k = int(votes.argmax())
-        if best is None or votes[k] > best[2]:
-            best = int(i[k]), int(second[own[k]]), int(votes[k])
-    return best
+        even = np.zeros(len(i))
+        if weights[1]:
+            along = bx[:, None] * right + by[:, None] * up
+            low, high = np.where(near, along, np.inf).min(1), np.where(near, along, -np.inf).max(1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                place = np.minimum(np.floor((along - low[:, None]) / (high - low)[:, None] * 10), 9)
+            row, col = np.nonzero(near)
+            held = np.bincount(row * 10 + np.nan_to_num(place[row, col]).astype(np.int64), minlength=10 * len(i)).reshape(-1, 10)
+            # a tenth of the inliers is expected in each of ten bins: the squares' sums are whole numbers
+            even = 1 - (10 * (held * held).sum(1) - votes * votes) / (8.1 * votes * votes) - 0.9
+        score = np.floor((weights[0] * votes / n + weights[1] * even) * 1e9 + 0.5)
+        k = int(score.argmax())
+        if best is None or score[k] > best[4]:
+            best = int(i[k]), int(j[k]), int(votes[k]), float(even[k]), float(score[k])
+    return best if best is None else (*best[:4], best[4] / 1e9)
 
 
 def best_line(points: DataFrame, keys: list[str], tag: str, x: str, y: str, within: float) -> DataFrame:
@@ -76,6 +112,36 @@ def best_line(points: DataFrame, keys: list[str], tag: str, x: str, y: str, with
     return points.select(*keys, tag, x, y).groupBy(*keys).applyInPandas(step, schema)
 
 
+def fit_lines(points: DataFrame, keys: list[str], tag: str, x: str, y: str, within: float, weights: tuple[float, float] = (1.0, 1.0), outliers: float = 0.1, drawn: int | None = 10_000) -> DataFrame:
+    """(keys, line, i, j, ax, ay, bx, by, inliers, uniformity, score): lines taken one after another from each key's points.
+
+    A line goes through the points i and j, from (ax, ay) in the unit direction (bx, by). Each is the one that scores
+    highest among the points that earlier ones leave: weights[0] times the share of points within the distance, and
+    weights[1] times how evenly these lie along it. It ends where at most `outliers` of the key's points are left, or
+    none of those left scores above 0. Up to `drawn` pairs all are tried, beyond that so many drawn by a hash of the
+    key. A key's points are those of one plan's walls, and one group. Points that are equal make no line.
+    """
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"line int, i {kinds[tag]}, j {kinds[tag]}, ax double, ay double, bx double, by double, inliers long, uniformity double, score double"])
+
+    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values(tag, kind="stable"), []
+        names, px, py = rows[tag].to_numpy(), rows[x].to_numpy(float), rows[y].to_numpy(float)
+        left = np.arange(len(rows))
+        while len(left) > max(1, outliers * len(rows)):
+            found = _best_line(px[left], py[left], within, weights, drawn, zlib.crc32(repr(key).encode()))
+            if found is None or found[4] <= 0:
+                break
+            i, j = left[found[0]], left[found[1]]
+            size = np.hypot(px[j] - px[i], py[j] - py[i])
+            bx, by = (px[j] - px[i]) / size, (py[j] - py[i]) / size
+            out.append((*key, len(out), names[i], names[j], px[i], py[i], bx, by, *found[2:]))
+            left = left[np.abs(bx * (py[left] - py[i]) - by * (px[left] - px[i])) > within]
+        return pd.DataFrame(out, columns=[*keys, "line", "i", "j", "ax", "ay", "bx", "by", "inliers", "uniformity", "score"])
+
+    return points.select(*keys, tag, x, y).groupBy(*keys).applyInPandas(step, schema)
+
+
 def extract_lines(points: DataFrame, keys: list[str], tag: str, x: str, y: str, within: float, rounds: int) -> DataFrame:
     """(round, keys, i, j, inliers, share): each round's best line, found among the points that earlier lines leave."""
     from .graphs import checkpointed

@@ -54,3 +54,8 @@ def scatter(points: DataFrame, keys: list[str]) -> DataFrame:
     w = F.col("weight")
     axes = ("x", "y", "z")
     return points.groupBy(*keys).agg(*(F.sum(w * w * F.col(a) * F.col(b)).alias(a + b) for i, a in enumerate(axes) for b in axes[i:]))
+
+
+def long_enough(arcs: DataFrame, degrees: float = 5.0) -> DataFrame:
+    """The arcs whose length (radians) is at least so many degrees."""
+    return arcs.where(F.degrees("length") >= degrees)

@@ -11,11 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays, in the JVM."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -83,12 +78,6 @@ def mutual_matches(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return mutual(found, "q_id", "t_id", "score")
 
 
-def two_nearest(pairs: DataFrame, key: str, other: str, distance: str) -> DataFrame:
-    """Ranked nearest two of each key. Row limits by group are applied before the shuffle as well as after."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(distance, other))
-    return pairs.withColumn("rank", rank).where("rank <= 2")
-
-
 def mutual(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """(a, b, score): pairs that are each other's best, ties to smaller ids."""
     to = pairs.groupBy(a).agg(F.max(F.struct(F.col(score), (-F.col(b)).alias("o"))).alias("m")).select(a, (-F.col("m.o")).alias(b), F.col(f"m.{score}").alias(score))
@@ -107,6 +96,28 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], l_value: str,
     return a.join(b, [*keys, "_cell"]).where(F.abs(F.col(l_value) - F.col(r_value)) <= width).drop("_cell")
 
 
+def linked_within(points: DataFrame, tag: str, value: str, width: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs whose values are at most `width` apart, no more than rows.
+
+    Values in one cell of the width are all that near: each links to the cell's least tag. Two neighbouring cells link
+    if the greatest value of one and the least of the next do, which are the nearest that they have.
+    """
+    placed = points.select(tag, value, F.floor(F.col(value) / width).alias("_cell"))
+    cells = placed.groupBy("_cell").agg(F.min(tag).alias("b"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    own = placed.join(cells, "_cell").where(F.col(tag) != F.col("b")).select(F.col(tag).alias("a"), "b")
+    after = cells.select((F.col("_cell") - 1).alias("_cell"), F.col("b").alias("a"), F.col("_low").alias("_next"))
+    return own.union(cells.join(after, "_cell").where(F.col("_next") - F.col("_high") <= width).select("a", "b"))
+
+
+def stochastic_pairs(grid: DataFrame, keys: list[str], row: str, col: str, chosen: Column, horizon: int, n: int, seed: int = 0) -> DataFrame:
+    """(keys, row, col, row2): up to n of each key's chosen cells above the horizon, by a hash, with their mirror rows below."""
+    place = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(row).cast("string"), F.col(col).cast("string")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", row, col))
+    above = grid.where(chosen & (F.col(row) < horizon)).select(*keys, row, col, place.alias("_h")).withColumn("_k", rank).where(F.col("_k") <= n)
+    below = grid.where(F.col(row) > horizon).select(*keys, (2 * horizon - F.col(row)).alias(row), col)
+    return above.join(below, [*keys, row, col], "left_semi").select(*keys, row, col, (2 * horizon - F.col(row)).alias(f"{row}2"))
+
+
 def grid_neighbours(grid: DataFrame, keys: list[str], row: str, col: str, values: list[str]) -> DataFrame:
     """Each cell with its eight neighbours' values (named *_near): offsets exploded, then an equality join."""
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))

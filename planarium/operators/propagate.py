@@ -14,8 +14,8 @@ def spread_labels(cells: DataFrame, key: str, least: int = 1) -> DataFrame:
     """(key, m, n, label): seeds' labels spread to unlabelled neighbours, the nearest in colour first.
 
     cells has the panorama's key, grid place m, n, colour l, a, b and label (0 unknown). The edge of least colour
-    difference anywhere on the frontier is taken next, not the shortest path; a cell is labelled when an edge to it is
-    queued, and rows under `least` are never entered. Columns do not wrap. A panorama's grid is one group of some 1,500.
+    difference anywhere on the frontier is taken next, not the shortest path; a cell is labelled when its first edge is
+    taken, and rows under `least` are never entered. Columns do not wrap. A panorama's grid is one group of some 1,500.
     """
     kind = dict(cells.dtypes)[key]
 
@@ -44,6 +44,15 @@ def spread_labels(cells: DataFrame, key: str, least: int = 1) -> DataFrame:
     return cells.select(key, "m", "n", "l", "a", "b", "label").groupBy(key).applyInPandas(step, f"{key} {kind}, m int, n int, label int")
 
 
+def spread_labels_in_views(cells: DataFrame, key: str, width: int, views: int = 3, least: int = 1) -> DataFrame:
+    """(key, m, n, label): spread_labels() in each of `views` equal parts of a panorama's columns by itself."""
+    part = F.floor(F.col("n") * views / width).cast("int")
+    own = cells.withColumn("_view", F.struct(F.col(key).alias("k"), part.alias("v")))
+    names = own.select("_view").distinct().withColumn("_id", F.xxhash64("_view.k", "_view.v"))
+    spread = spread_labels(own.withColumn("_id", F.xxhash64("_view.k", "_view.v")), "_id", least)
+    return spread.join(names, "_id").select(F.col("_view.k").alias(key), "m", "n", "label")
+
+
 def cuboid_walls(columns: DataFrame, key: str) -> DataFrame:
     """(key, wall, axis, at): four walls, y and x in turn, at the medians of the floor boundary's segments (key, segment, x, y)."""
     at = F.when(F.col("segment") % 2 == 0, F.col("y")).otherwise(F.col("x"))

@@ -29,18 +29,73 @@ def resized(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int])
     return pixels.join(rows, ["row", "col"]).select(*others, F.col("row2").alias("row"), F.col("col2").alias("col"))
 
 
-def bilinear(samples: DataFrame, pixels: DataFrame, keys: list[str], value: str, height: int, width: int) -> DataFrame:
-    """samples (keys, id, sx, sy) with the image's value there: four corner lookups by key, weighted; 0 outside the image."""
+def bilinear(samples: DataFrame, pixels: DataFrame, keys: list[str], value: str, height: int, width: int, wrap: bool = False) -> DataFrame:
+    """samples (keys, id, sx, sy) with the image's value there: four corner lookups by key, weighted; 0 outside the image.
+
+    With wrap the image is a ring: columns go on over the seam, and rows stop at the first and last.
+    """
+    if wrap:
+        samples = samples.withColumn("sx", F.pmod("sx", F.lit(float(width)))).withColumn("sy", F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), F.col("sy"))))
     inside = samples.where((F.col("sx") >= 0) & (F.col("sx") < width) & (F.col("sy") >= 0) & (F.col("sy") < height))
     x0, y0 = F.floor("sx").cast("int"), F.floor("sy").cast("int")
     fx, fy = F.col("sx") - x0, F.col("sy") - y0
-    corner = lambda dx, dy, w: F.struct(F.least(x0 + dx, F.lit(width - 1)).alias("col"), F.least(y0 + dy, F.lit(height - 1)).alias("row"), w.alias("w"))
+    beside = lambda dx: F.pmod(x0 + dx, F.lit(width)) if wrap else F.least(x0 + dx, F.lit(width - 1))
+    corner = lambda dx, dy, w: F.struct(beside(dx).alias("col"), F.least(y0 + dy, F.lit(height - 1)).alias("row"), w.alias("w"))
     corners = F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy))
     wanted = inside.select(*keys, "id", F.explode(corners).alias("c")).select(*keys, "id", "c.row", "c.col", "c.w")
     found = wanted.join(pixels.select(*keys, "row", "col", F.col(value).cast("double").alias("_v")), [*keys, "row", "col"]).groupBy(*keys, "id").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
     return samples.select(*keys, "id").join(found, [*keys, "id"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def _asked(images: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """(keys, id, row, col) of every pixel of an image so large for each image's keys."""
+    place = F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("id")
+    return images.select(*keys).distinct().select(*keys, place).withColumns({"row": F.expr(f"id div {width}"), "col": F.expr(f"id % {width}")})
+
+
+def _taken(asked: DataFrame, at: tuple[Column, Column], pixels: DataFrame, keys: list[str], value: str, height: int, width: int, wrap: bool) -> DataFrame:
+    """(keys, row, col, value): each asked pixel with the image's value at (sx, sy)."""
+    samples = asked.withColumn("sx", at[0]).withColumn("sy", at[1])
+    found = bilinear(samples.select(*keys, "id", "sx", "sy"), pixels, keys, value, height, width, wrap)
+    return asked.join(found, [*keys, "id"]).select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value)
+
+
+def perspective_view(panoramas: DataFrame, keys: list[str], value: str, height: int, width: int, size: tuple[int, int], fov: float, yaw: Column, pitch: Column) -> DataFrame:
+    """(keys, row, col, value): a view of size (height, width) in each panorama (keys, row, col, value), turned by yaw and pitch.
+
+    yaw and pitch are in degrees, and may use the keys: crops of a tangent plane are views of their own keys.
+    """
+    asked = _asked(panoramas, keys, *size)
+    ray = G.perspective_ray(F.col("col"), F.col("row"), size[1], size[0], fov, yaw, pitch)
+    return _taken(asked, G.c2_pixel(*ray, height, width), panoramas, keys, value, height, width, True)
+
+
+def rotated_panorama(panoramas: DataFrame, keys: list[str], value: str, height: int, width: int, turn: list[float]) -> DataFrame:
+    """(keys, row, col, value): each panorama as seen after a turn, nine numbers by rows that take new directions to old ones."""
+    ray = G.c2_ray(F.col("col") + 0.5, F.col("row") + 0.5, height, width)
+    old = tuple(turn[3 * k] * ray[0] + turn[3 * k + 1] * ray[1] + turn[3 * k + 2] * ray[2] for k in range(3))
+    u, v = G.c2_pixel(*old, height, width)
+    return _taken(_asked(panoramas, keys, height, width), (u - 0.5, v - 0.5), panoramas, keys, value, height, width, True)
+
+
+def stretched_panorama(panoramas: DataFrame, keys: list[str], value: str, height: int, width: int, kx: float, ky: float) -> DataFrame:
+    """(keys, row, col, value): each panorama of its room stretched by kx and ky along the floor's axes."""
+    ray = G.c2_ray(F.col("col") + 0.5, F.col("row") + 0.5, height, width)
+    u, v = G.c2_pixel(ray[0] / kx, ray[1], ray[2] / ky, height, width)
+    return _taken(_asked(panoramas, keys, height, width), (u - 0.5, v - 0.5), panoramas, keys, value, height, width, True)
+
+
+def warped(images: DataFrame, keys: list[str], value: str, height: int, width: int, back: list[float]) -> DataFrame:
+    """(keys, row, col, value): each image through a homography, given by the nine numbers of its inverse; 0 from outside."""
+    asked = _asked(images, keys, height, width)
+    return _taken(asked, G.homogeneous(back, F.col("col").cast("double"), F.col("row").cast("double")), images, keys, value, height, width, False)
+
+
+def class_bounds(cells: DataFrame, keys: list[str], ceiling: int = 3, floor: int = 1) -> DataFrame:
+    """(keys, ceiling, floor): the lowest row of ceiling and the highest of floor in each column; null without any."""
+    return cells.groupBy(*keys).agg(F.max(F.when(F.col("label") == ceiling, F.col("row"))).alias("ceiling"), F.min(F.when(F.col("label") == floor, F.col("row"))).alias("floor"))
+
+
 def borders(labels: DataFrame, row: str, col: str, label: str) -> DataFrame:
     """labels with `border`: whether the 3 x 3 pixels around hold more than one label."""
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))

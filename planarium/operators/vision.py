@@ -7,11 +7,12 @@ rerun gives the same result wherever the group lands.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _normalised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,3 +140,80 @@ def rectifying(k: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray,
     turn = np.stack([x, y, np.cross(x, y)])
     back = np.linalg.inv(k)
     return k @ turn @ back, k @ turn @ r.T @ back
+
+
+def _pair_poses(group: tuple, rows: pd.DataFrame, camera: np.ndarray, tolerance: float, rounds: int, seed: int, median: bool) -> list[tuple]:
+    rows = rows.sort_values(["x1", "y1", "x2", "y2"])
+    p = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    found = robust(p[:, :2], p[:, 2:], "fundamental", tolerance, rounds, zlib.crc32(f"{seed}/{group[0]}".encode()), median)
+    if found is None:
+        return []
+    f, inside = found
+    back = np.linalg.inv(camera)
+    a, b = ((np.c_[q[inside], np.ones(int(inside.sum()))] @ back.T)[:, :2] for q in (p[:, :2], p[:, 2:]))
+    out = []
+    for k, (r, t) in enumerate(poses(camera.T @ f @ camera)):
+        x = triangulate(np.eye(3, 4), np.c_[r, t], a, b) if len(a) else np.zeros((0, 3))
+        front = int(((x[:, 2] > 0) & ((x @ r.T + t)[:, 2] > 0)).sum())
+        out.append((group[0], k, r.ravel().tolist(), t.tolist(), front, int(inside.sum()), len(p)))
+    return out
+
+
+def pose_hypotheses(matches: DataFrame, key: str, camera: np.ndarray, tolerance: float = 1.0, rounds: int = 500, seed: int = 0, median: bool = False) -> DataFrame:
+    """(key, hypothesis, r, t, front, inliers, n): the four poses of the second camera that each pair's matches allow.
+
+    matches has key, x1, y1, x2, y2 in pixels of one camera. A robust fundamental matrix gives the essential one; front
+    counts the inliers that lie before both cameras. r are nine numbers by rows, t has unit length. Pairs with fewer
+    than eight matches give no row.
+    """
+    kind = dict(matches.dtypes)[key]
+
+    def step(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_pair_poses(group, rows, camera, tolerance, rounds, seed, median), columns=[key, "hypothesis", "r", "t", "front", "inliers", "n"])
+
+    return matches.select(key, "x1", "y1", "x2", "y2").groupBy(key).applyInPandas(step, f"{key} {kind}, hypothesis int, r array<double>, t array<double>, front long, inliers long, n long")
+
+
+def best_poses(hypotheses: DataFrame, key: str) -> DataFrame:
+    """(key, r, t, front, inliers, n): of each pair's hypotheses the one with most points in front, the first of equals."""
+    best = F.max_by(F.struct("r", "t", "front", "inliers", "n"), F.struct("front", -F.col("hypothesis")))
+    return hypotheses.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+
+
+def triangulated(matches: DataFrame, found: DataFrame, key: str, camera: np.ndarray) -> DataFrame:
+    """matches (key, x1, y1, x2, y2, ...) with x, y, z, the point in the first camera's frame, and z2, its depth in the second's.
+
+    found has key, r and t of each pair; matches of other pairs are left out. Each match is solved by itself, so that rows
+    need no grouping.
+    """
+    back = np.linalg.inv(camera)
+    joined = matches.join(found.select(key, F.col("r").alias("_r"), F.col("t").alias("_t")), key)
+    kinds, columns = ", ".join(f"`{n}` {t}" for n, t in matches.dtypes), matches.columns
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            a, b = ((np.c_[rows[[f"x{k}", f"y{k}"]].to_numpy(float), np.ones(len(rows))] @ back.T)[:, :2] for k in (1, 2))
+            r, t = np.stack(rows["_r"].to_numpy()).reshape(-1, 3, 3), np.stack(rows["_t"].to_numpy())
+            second = np.concatenate([r, t[:, :, None]], 2)
+            first = np.broadcast_to(np.eye(3, 4), second.shape)
+            m = np.stack([a[:, :1] * first[:, 2] - first[:, 0], a[:, 1:] * first[:, 2] - first[:, 1], b[:, :1] * second[:, 2] - second[:, 0], b[:, 1:] * second[:, 2] - second[:, 1]], 1)
+            x = np.linalg.svd(m)[2][:, -1]
+            x = x[:, :3] / np.where(np.abs(x[:, 3:]) > 1e-12, x[:, 3:], 1e-12)
+            depth = (r[:, 2] * x).sum(1) + t[:, 2]
+            yield rows[columns].assign(x=x[:, 0], y=x[:, 1], z=x[:, 2], z2=depth)
+
+    return joined.mapInPandas(step, f"{kinds}, x double, y double, z double, z2 double")
+
+
+def rectifications(found: DataFrame, key: str, camera: np.ndarray) -> DataFrame:
+    """(key, h1, h2): for each pair's pose (key, r, t) the homographies, nine numbers each, that put partners in one row."""
+    kind = dict(found.dtypes)[key]
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [rectifying(camera, np.array(r).reshape(3, 3), np.array(t)) for r, t in zip(rows["r"], rows["t"])]
+            yield pd.DataFrame({key: rows[key], "h1": [h.ravel().tolist() for h, _ in out], "h2": [h.ravel().tolist() for _, h in out]})
+
+    return found.select(key, "r", "t").mapInPandas(step, f"{key} {kind}, h1 array<double>, h2 array<double>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,21 @@ def _hull(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float]
     return min(holds, key=size) if holds else (0.0, 1.0)
 
 
+def _on_circle(n: np.ndarray, u: float, plane: int) -> np.ndarray:
+    """The point of the great circle with normal n at the share u of a turn, axes cycled by plane."""
+    a, b, c = np.roll(n, 1 - plane)
+    lon = u * 2 * math.pi - math.pi
+    lat = math.atan(-(math.sin(lon) * a + math.cos(lon) * b) / (c + 1e-12))
+    return np.roll([math.cos(lat) * math.sin(lon), math.cos(lat) * math.cos(lon), math.sin(lat)], plane - 1)
+
+
 def merge_arcs(arcs: DataFrame, key: str, degrees: float = 1.0, passes: int = 3) -> DataFrame:
     """(key, plane, nx, ny, nz, umin, umax, length, score): arcs of one circle whose ranges meet become one.
 
     Arcs (same columns) of one plane merge if their normals are within so many degrees, whichever way they point. The
-    longest is taken first and takes in every arc that it meets, one after another; normals add up by length, scores
-    sum. The order matters, so one panorama's arcs, a few thousand, are one group; passes repeat until nothing merges.
+    longest is taken first and takes in every arc that it meets, one after another. Normals add up by length, the score
+    is the mean by length, and the length is measured anew: the angle between the merged arc's ends on its circle. The
+    order matters, so one panorama's arcs, a few thousand, are one group; passes repeat until nothing merges.
     """
     kinds = dict(arcs.dtypes)
     columns = ["plane", "nx", "ny", "nz", "umin", "umax", "length", "score"]
@@ -52,8 +62,9 @@ def merge_arcs(arcs: DataFrame, key: str, degrees: float = 1.0, passes: int = 3)
                         n = other[1] * other[3] + math.copysign(1, dot) * arc[1] * arc[3]
                         other[1] = n / np.linalg.norm(n)
                         other[2] = _hull(arc[2], other[2])
-                        other[3] += arc[3]
-                        other[4] += arc[4]
+                        other[4] = (other[3] * other[4] + arc[3] * arc[4]) / (other[3] + arc[3]) if other[3] + arc[3] else other[4]
+                        ends = [_on_circle(other[1], u, arc[0]) for u in other[2]]
+                        other[3] = math.acos(max(-1.0, min(1.0, float(ends[0] @ ends[1]))))
                         break
                 else:
                     out.append(list(arc))
@@ -66,38 +77,138 @@ def merge_arcs(arcs: DataFrame, key: str, degrees: float = 1.0, passes: int = 3)
     return arcs.select(key, *columns).groupBy(key).applyInPandas(step, schema)
 
 
-def manhattan_directions(arcs: DataFrame, level: int = 3, within: float = 2.0, square: float = 2.0) -> list[tuple[float, float, float]]:
-    """Three orthogonal directions that arcs (nx, ny, nz, weight) vote for most.
-
-    Candidates are the points of a subdivided icosahedron, half of them by symmetry: a constant of a few hundred, so
-    their summed votes are all that leaves the executors. Of all triples within `square` degrees of orthogonal the one
-    with most votes is taken, the first of equals, and each direction is then fitted to the arcs that vote for it.
-    """
-    every = [p for p in lines.icosahedron(level) if (p[2], p[1], p[0]) > (0, 0, 0)]
-    found = {r.dir: r.votes for r in lines.votes(arcs, every, 90.0 - within).collect()} if within else {}
-    score = np.array([found.get(k, 0.0) for k in range(len(every))])
-    # a circle passes near a direction if its normal is nearly orthogonal to it: those counted above, taken the other way
-    d = np.array(every)
-    flat = np.abs(d @ d.T) <= math.sin(math.radians(max(square, 1e-9) + 180 / (5 * 2**level)))
+def _frame(normals: np.ndarray, weights: np.ndarray, every: np.ndarray, level: int, within: float, square: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(three directions, their votes): the orthogonal triple of candidates with most votes, fitted `rounds` times anew."""
+    score = ((np.abs(normals @ every.T) <= math.sin(math.radians(within))) * weights[:, None]).sum(0)
+    flat = np.abs(every @ every.T) <= math.sin(math.radians(max(square, 1e-9) + 180 / (5 * 2**level)))
     best = None
-    for i in np.argsort(-score, kind="stable")[:200]:
+    for i in np.argsort(-score, kind="stable"):
         ok = np.flatnonzero(flat[i])
-        if not len(ok):
+        if not len(ok) or (best is not None and score[i] * 3 <= best[0]):  # the first of a triple is its highest
             continue
         pair = np.where(flat[np.ix_(ok, ok)], score[ok][:, None] + score[ok][None, :], -1.0)
         j, k = np.unravel_index(int(pair.argmax()), pair.shape)
         if pair[j, k] >= 0 and (best is None or score[i] + pair[j, k] > best[0] + 1e-12):
-            best = score[i] + pair[j, k], (int(i), int(ok[j]), int(ok[k]))
+            best = score[i] + pair[j, k], (i, ok[j], ok[k])
     if best is None:
-        return [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
-    chosen = [every[k] for k in best[1]]
-    near = lines.assign(arcs, chosen, 3 * within + 180 / (5 * 2**level)).where("vp <= 3")
-    sums = lines.scatter(near.select("vp", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"), "weight"), ["vp"]).collect()
-    for r in sums:
-        m = np.array([[r.xx, r.xy, r.xz], [r.xy, r.yy, r.yz], [r.xz, r.yz, r.zz]])
-        v = np.linalg.eigh(m)[1][:, 0]  # normals lie in the plane orthogonal to the direction
-        chosen[r.vp - 1] = tuple(float(x) for x in v * np.sign(v @ np.array(chosen[r.vp - 1])))
-    return chosen
+        return np.eye(3), np.zeros(3)
+    axes = every[list(best[1])].copy()
+    for turn in range(rounds):
+        reach = math.radians((3 * within + 180 / (5 * 2**level)) / 2**turn)
+        off = np.arcsin(np.minimum(1.0, np.abs(normals @ axes.T)))
+        nearest = np.where(off.min(1) <= reach, off.argmin(1), 3)
+        for k in range(3):
+            own = normals[nearest == k] * weights[nearest == k][:, None]
+            if len(own) >= 2:  # normals lie in the plane orthogonal to the direction
+                v = np.linalg.eigh(own.T @ own)[1][:, 0]
+                axes[k] = v * (np.sign(v @ axes[k]) or 1.0)
+    votes = ((np.abs(normals @ axes.T) <= math.sin(math.radians(within))) * weights[:, None]).sum(0)
+    return axes, votes
+
+
+def manhattan_frames(arcs: DataFrame, key: str, level: int = 3, within: float = 2.0, square: float = 2.0, rounds: int = 3) -> DataFrame:
+    """(key, axis, x, y, z, votes): for each panorama three orthogonal directions that its arcs vote for most.
+
+    arcs has the key, nx, ny, nz and weight. Candidates are the points of a subdivided icosahedron, half of them by
+    symmetry; an arc votes for a direction that its circle passes within so many degrees. Of all triples within `square`
+    degrees of orthogonal the one with most votes is taken, the first of equals, and each direction is fitted `rounds`
+    times to the arcs near it, ever nearer. A panorama's arcs, a few thousand, are one group; one without votes gets the
+    axes of space.
+    """
+    every = np.array([p for p in lines.icosahedron(level) if (p[2], p[1], p[0]) > (0, 0, 0)])
+    kind = dict(arcs.dtypes)[key]
+
+    def step(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["nx", "ny", "nz", "weight"])
+        n = rows[["nx", "ny", "nz"]].to_numpy(float)
+        n = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-12)
+        axes, votes = _frame(n, rows["weight"].to_numpy(float), every, level, within, square, rounds)
+        return pd.DataFrame([(group[0], k, *map(float, axes[k]), float(votes[k])) for k in range(3)], columns=[key, "axis", "x", "y", "z", "votes"])
+
+    return arcs.select(key, "nx", "ny", "nz", "weight").groupBy(key).applyInPandas(step, f"{key} {kind}, axis int, x double, y double, z double, votes double")
+
+
+def refitted(arcs: DataFrame, keys: list[str], weight: float = 0.1, samples: int = 100) -> DataFrame:
+    """arcs (keys, nx, ny, nz, plane, umin, umax, vx, vy, vz) with normals drawn towards passing their direction v.
+
+    An arc is sampled evenly; its new normal is that of the plane through the middle of space which fits the samples and
+    v, that counting as `weight` times all of them. No weight leaves an arc as it is. The samples are sums in the JVM;
+    only a three by three matrix of each arc is solved in Python.
+    """
+    span = F.expr("umin + pmod(umax - umin, 1.0) * k / {0}".format(float(samples - 1)))
+    dots = arcs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("u", F.pmod(span, F.lit(1.0)) * (2 * math.pi) - math.pi)
+    x, y, z = G.c3_xyz(F.col("u"), G.great_circle_v(F.col("nx"), F.col("ny"), F.col("nz"), F.col("u"), F.col("plane")), F.col("plane"))
+    seen = dots.select(*keys, x.alias("x"), y.alias("y"), z.alias("z"), F.lit(1.0).alias("weight"))
+    drawn = arcs.select(*keys, F.col("vx").alias("x"), F.col("vy").alias("y"), F.col("vz").alias("z"), F.lit(float(weight * samples)).alias("weight"))
+    sums = lines.scatter(seen.unionByName(drawn), keys)
+    kinds = dict(arcs.dtypes)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            m = rows[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            yield rows[keys].assign(**{c: n[:, k] for k, c in enumerate(("ux", "uy", "uz"))})
+
+    found = sums.mapInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ux double, uy double, uz double"]))
+    side = F.when(F.expr("ux * nx + uy * ny + uz * nz < 0"), -1.0).otherwise(1.0)
+    back = arcs.join(found, keys).withColumns({f"n{c}": side * F.col(f"u{c}") for c in "xyz"})
+    return back.select(arcs.columns)
+
+
+def _ends(ax: float, ay: float, bx: float, by: float, dots: np.ndarray, crossed: np.ndarray, radius: float, factor: float, most: int, reach: float) -> tuple | None:
+    """(x0, y0, x1, y1, inliers) of one line: the two crossings with most of its points around, or its own ends."""
+    along = bx * (dots[:, 0] - ax) + by * (dots[:, 1] - ay)
+    own = np.array([[ax + t * bx, ay + t * by] for t in (along.min(), along.max())])
+    if len(crossed) < 2:
+        return *own[0], *own[1], 0
+    first, second = np.triu_indices(len(crossed), 1)
+    away = np.linalg.norm(dots[:, None, :] - crossed[None, :, :], axis=2)
+    for turn in range(most):
+        near = (away <= radius * (factor * turn if turn else 1)).sum(0)
+        votes = near[first] + near[second]
+        if (votes > 0).sum() >= 2:
+            break
+    k = int(votes.argmax())
+    ends = [crossed[first[k]], crossed[second[k]]]
+    far = np.array([[np.linalg.norm(p - q) for q in own] for p in ends])
+    good = (far <= reach).any(1)
+    if not good.any():
+        ends = [own[0], own[1]]
+    elif not good.all():  # the bad one gives way to the line's own end that the good one is not at
+        ends[int(good[0])] = own[1 - int(far[int(not good[0])].argmin())]
+    return *ends[0], *ends[1], int(votes[k])
+
+
+def wall_ends(fitted: DataFrame, points: DataFrame, key: str, within: float, radius: float = 0.5, factor: float = 2.0, most: int = 5, reach: float = 1.0) -> DataFrame:
+    """(key, line, x0, y0, x1, y1, inliers): the ends of each fitted line among its crossings with the others.
+
+    fitted has key, line, ax, ay, bx, by; points key, x, y. A line's points are those within the distance that no line
+    before it has. Of all pairs of crossings (once each after rounding to five places) the first with most of the line's
+    points around either is taken; where fewer than two pairs have any, the radius grows by the factor, up to `most`
+    tries. An end farther than `reach` from both ends of the line's points gives way to one of these. A plan's lines and
+    points are one group.
+    """
+    kind = dict(fitted.dtypes)[key]
+
+    def step(group: tuple, lines_: pd.DataFrame, dots: pd.DataFrame) -> pd.DataFrame:
+        lines_, left, out = lines_.sort_values("line"), dots[["x", "y"]].to_numpy(float), []
+        rows = lines_[["ax", "ay", "bx", "by"]].to_numpy(float)
+        for k, (ax, ay, bx, by) in enumerate(rows):
+            mine = np.abs(bx * (left[:, 1] - ay) - by * (left[:, 0] - ax)) <= within
+            if not mine.any():
+                continue
+            other = np.delete(rows, k, 0)
+            den = bx * other[:, 3] - by * other[:, 2]
+            ok = np.abs(den) >= 1e-9
+            t = ((other[ok, 0] - ax) * other[ok, 3] - (other[ok, 1] - ay) * other[ok, 2]) / den[ok]
+            crossed = np.unique(np.round(np.stack([ax + t * bx, ay + t * by], 1), 5) + 0.0, axis=0)
+            found = _ends(ax, ay, bx, by, left[mine], crossed, radius, factor, most, reach)
+            out.append((group[0], int(lines_["line"].iloc[k]), *map(float, found[:4]), found[4]))
+            left = left[~mine]
+        return pd.DataFrame(out, columns=[key, "line", "x0", "y0", "x1", "y1", "inliers"])
+
+    a, b = fitted.select(key, "line", "ax", "ay", "bx", "by").groupBy(key), points.select(key, "x", "y").groupBy(key)
+    return a.cogroup(b).applyInPandas(step, f"{key} {kind}, line int, x0 double, y0 double, x1 double, y1 double, inliers long")
 
 
 def wall_corners(crossed: DataFrame, points: DataFrame, key: str, radius: float) -> DataFrame:

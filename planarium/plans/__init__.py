@@ -14,14 +14,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
-    """Register fn(table, ...) under its name; its parameters name the tables that it reads."""
+    """Register fn(table, ...) under its name; its parameters name the tables that it reads, the session or their folder."""
 
     def register(fn: Callable) -> Callable:
         names = fn.__code__.co_varnames[: fn.__code__.co_argcount]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             importable(spark)
-            return fn(*(spark if n == "spark" else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names))
+            given = {"spark": spark, "folder": sf_dir}
+            return fn(*(given[n] if n in given else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names))
 
         QUERIES[fn.__name__] = run
         if oracle:
@@ -32,6 +33,6 @@ def query(oracle: str | None = None) -> Callable[[Callable], Callable]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalogue, clouds, fitting, matching, rasters, scalars, sequences, signals  # noqa: F401  each registers its queries
+    from . import catalogue, clouds, files, fitting, matching, rasters, rooms, scalars, sequences, signals, views  # noqa: F401  each registers its queries
 
     return QUERIES, ORACLES

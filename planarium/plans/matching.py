@@ -176,13 +176,12 @@ def corner_prf(part: DataFrame) -> DataFrame:
     SELECT node, min(root) AS root FROM r GROUP BY node
 """)
 def connected_components(customer: DataFrame) -> DataFrame:
-    a = customer.select(F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
-    b = customer.select(F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("y"))
-    return components_of(M.band_join(a, b, [], "x", "y", 0.5).where("a < b").select("a", "b"))
+    return components_of(M.linked_within(customer, "c_custkey", "c_acctbal", 0.5))
 
 
 @query(f"""
-    WITH {_V}, n AS (SELECT * FROM (VALUES (0, 0.0, 1.0, 1.618033988749895), (1, 1.618033988749895, 0.0, 1.0), (2, 1.0, 1.618033988749895, 0.0)) AS t(dir, x, y, z)),
+    WITH {_V}, n AS (SELECT * FROM (VALUES (0, 0.0, 1.0, 1.618033988749895), (1, 1.618033988749895, 0.0, 1.0), (2, 1.0, 1.618033988749895, 0.0),
+        (3, 0.0, -1.0, 1.618033988749895), (4, 1.618033988749895, 0.0, -1.0), (5, -1.0, 1.618033988749895, 0.0)) AS t(dir, x, y, z)),
     p AS (SELECT vec_id, dir, abs(e[1] * x + e[2] * y + e[3] * z) / sqrt(e[1] * e[1] + e[2] * e[2] + e[3] * e[3]) / sqrt(x * x + y * y + z * z) AS d, e[4] AS w FROM v, n)
     SELECT dir, count(*) AS n, floor(sum(abs(w)) * 100 + 0.5) / 100 AS votes FROM p WHERE d < cos(radians(60)) GROUP BY ALL
 """)
@@ -192,7 +191,7 @@ def arc_votes(embeddings: DataFrame) -> DataFrame:
     g = 1.618033988749895
     e = [F.col("e")[k] for k in range(4)]
     arcs = vectors(embeddings).select(*(x.alias(n) for x, n in zip(e, ("nx", "ny", "nz"))), F.abs(e[3]).alias("weight"))
-    found = votes(arcs, [(0.0, 1.0, g), (g, 0.0, 1.0), (1.0, g, 0.0)], 60.0)
+    found = votes(arcs, [(0.0, 1.0, g), (g, 0.0, 1.0), (1.0, g, 0.0), (0.0, -1.0, g), (g, 0.0, -1.0), (-1.0, g, 0.0)], 60.0)
     return found.select("dir", "n", fixed("votes", 2).alias("votes"))
 
 

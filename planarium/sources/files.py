@@ -7,8 +7,10 @@ on the executors, one file a row.
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from ..functions import paths
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length, content) of all files below a folder; columns that are not used are not read."""
+    """(path, modificationTime, length, content) of all files below a folder, but for empty ones; columns that are not used are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 
@@ -43,11 +45,14 @@ def images(listing: DataFrame) -> DataFrame:
 
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, row, col, b, g, r) of decoded images; undecodable files are left out."""
-    image = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    image = image.where("nChannels = 3").withColumn("at", F.explode(F.expr("sequence(0, height * width - 1)")))
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("at") * 3 + (k + 1), F.lit(1))), 16, 10).cast("int")
-    return image.select(F.col("origin").alias("path"), "height", "width", F.expr("cast(at div width as int)").alias("row"), (F.col("at") % F.col("width")).alias("col"), byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
+    """(path, height, width, row, col, b, g, r, grey) of decoded images. A grey image has one value as all three colours,
+    a fourth channel is not read, and a file that is no image gives one row with nulls but for its path."""
+    image = spark.read.format("image").load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    image = image.withColumn("at", F.explode_outer(F.expr("if(nChannels > 0, sequence(0, height * width - 1), null)")))
+    byte = lambda k: F.ascii(F.decode(F.substring(F.col("data"), (F.expr("at * nChannels + 1") + F.expr(f"if(nChannels = 1, 0, {k})")).cast("int"), F.lit(1)), "ISO-8859-1"))
+    size = lambda c: F.when(F.col("nChannels") > 0, F.col(c)).alias(c)
+    found = image.select(F.col("origin").alias("path"), size("height"), size("width"), F.expr("cast(at div width as int)").alias("row"), F.expr("cast(at % width as int)").alias("col"), *(F.when(F.col("at").isNotNull(), byte(k)).alias(c) for k, c in enumerate("bgr")))
+    return found.withColumn("grey", F.expr("0.299D * r + 0.587D * g + 0.114D * b"))
 
 
 def arrays(listing: DataFrame) -> DataFrame:
@@ -119,10 +124,9 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     found = text.selectExpr("path", "try_variant_get(doc, '$.merger', 'variant') as node")
     kept = ["path"]
     for name, prefix in levels:
-        found.createOrReplaceTempView("_planarium_tree")
-        columns = ", ".join(f"t.{c}" for c in kept)
-        found = spark.sql(f"select {columns}, e.key as {name}_key, e.value as node from _planarium_tree t, lateral variant_explode(t.node) e where startswith(e.key, '{prefix}')")
+        found = spark.sql(f"select t.*, e.key as {name}_key, e.value as child from {{tree}} t, lateral variant_explode(t.node) e where startswith(e.key, '{prefix}')", tree=found)
         kept.append(f"{name}_key")
+        found = found.select(*kept, F.col("child").alias("node"))
     ids = [paths.key_suffix(F.col(f"{n}_key")).alias(f"{n}_id") for n, _ in levels]
     pose = "$.floor_plan_transformation"
     place = [F.coalesce(*(F.expr(_NUMBER.format("node", f"{pose}.translation{p}")) for p in (f"[{k}]", f".{a}")), F.lit(0.0)).alias(f"t{a}") for k, a in enumerate("xyz")]
@@ -178,6 +182,92 @@ def floor_plan_points(spark: SparkSession, number: int, per_edge: int, sigma: fl
     return dots.select(F.lit(number).alias("plan"), "edge", "i", (F.expr("ax + (bx - ax) * t") + noise(0)).alias("x"), (F.expr("ay + (by - ay) * t") + noise(1)).alias("y"))
 
 
+def setting(text: str, overrides: dict[str, object] | None = None) -> dict:
+    """Settings from lines `key: value`, nested by indentation; overrides have keys joined by dots and go over them.
+
+    Values are JSON where they can be (numbers, lists, true, null, quoted strings), and else strings; `#` starts a comment.
+    """
+    out: dict = {}
+    levels: list[tuple[int, dict]] = [(-1, out)]
+    for line in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not line.strip():
+            continue
+        indent, (name, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
+        while levels[-1][0] >= indent:
+            levels.pop()
+        if value.strip():
+            try:
+                levels[-1][1][name] = json.loads(value)
+            except ValueError:
+                levels[-1][1][name] = value.strip()
+        else:
+            levels[-1][1][name] = {}
+            levels.append((indent, levels[-1][1][name]))
+    for path, value in (overrides or {}).items():
+        *parents, last = path.split(".")
+        node = out
+        for name in parents:
+            node = node.setdefault(name, {})
+        node[last] = value
+    return out
+
+
+def cached(spark: SparkSession, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table in the folder, made and written there the first time that it is asked for."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        make().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def write_arrays(cells: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Sink of `.npy` files: one two-dimensional array for each key of cells (keys, row, col, value); missing cells are NaN.
+
+    Gives (keys, file, rows, cols), on reading which the files are written; a file's name is that of its key's values.
+    """
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "file string, rows int, cols int"])
+
+    def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow.fs import FileSystem
+
+        found = np.full((int(rows["row"].max()) + 1, int(rows["col"].max()) + 1), np.nan)
+        found[rows["row"], rows["col"]] = rows["value"]
+        data = io.BytesIO()
+        np.save(data, found)
+        system, path = FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        name = "_".join(map(str, key)) + ".npy"
+        with system.open_output_stream(f"{path}/{name}", compression=None) as f:
+            f.write(data.getvalue())
+        return pd.DataFrame([(*key, f"{folder}/{name}", *found.shape)], columns=[*keys, "file", "rows", "cols"])
+
+    return cells.select(*keys, "row", "col", "value").groupBy(*keys).applyInPandas(step, schema)
+
+
+def copied(manifest_: DataFrame) -> DataFrame:
+    """(path, target, length): the files of a manifest copied to their targets, a file a row, on reading."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            sizes = []
+            for path, target in zip(batch["path"], batch["target"]):
+                source, name = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path)
+                with source.open_input_stream(name, compression=None) as f:
+                    data = f.read()
+                system, name = FileSystem.from_uri(target)
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name, compression=None) as f:
+                    f.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"path": batch["path"], "target": batch["target"], "length": sizes})
+
+    return manifest_.select("path", "target").mapInPandas(step, "path string, target string, length long")
+
+
 def write_points(points: DataFrame, folder: str) -> None:
     """Sink of point clouds: Parquet, a folder for each scene and panorama."""
     points.write.mode("overwrite").partitionBy("scene_id", "pano_id").parquet(folder)

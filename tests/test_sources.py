@@ -3,6 +3,8 @@ import zipfile
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from planarium.operators import relational
 from planarium.sources import files as S
 
@@ -100,3 +102,19 @@ def test_pixels(spark, tmp_path):
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
     assert sorted((r.row, r.col, r.r, r.g, r.b) for r in S.pixels(spark, str(tmp_path)).collect()) == [(0, 0, 255, 0, 0), (0, 1, 0, 255, 0)]
+
+
+def test_settings():
+    text = "model: HoHo  # a name\nlr: 0.1\ndata:\n  size: [4, 5]\n  deep:\n    on: true\n  path: a:b\nlast: \"x # y\"\n"
+    got = S.setting(text.replace(' # y', ''), {"data.size": [1], "new.one": 2})
+    assert got == {"model": "HoHo", "lr": 0.1, "data": {"size": [1], "deep": {"on": True}, "path": "a:b"}, "last": "x", "new": {"one": 2}}
+    assert S.setting("") == {}
+
+
+def test_files_are_copied(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in (1, 2, 3):
+        (tmp_path / f"in/{k}.jpg").write_bytes(bytes([k]) * k)
+    listed = S.files(spark, str(tmp_path / "in")).select("path", F.concat(F.lit(f"file://{tmp_path}/out/"), F.regexp_extract("path", r"([^/]+)$", 1)).alias("target"))
+    assert sorted(r.length for r in S.copied(listed).collect()) == [1, 2, 3]
+    assert (tmp_path / "out/2.jpg").read_bytes() == b"\x02\x02"

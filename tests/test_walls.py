@@ -15,7 +15,8 @@ def test_arcs_merge_over_the_seam(spark):
     got = walls.merge_arcs(spark.createDataFrame(rows, schema), "pano").collect()
     assert len(got) == 4
     best = max(got, key=lambda r: r.length)
-    assert (best.umin, best.umax, best.length, best.score) == (0.9, 0.2, 5.0, 2.0) and abs(best.nz) == pytest.approx(1)
+    assert (best.umin, best.umax, best.score) == (0.9, 0.2, 1.0) and abs(best.nz) == pytest.approx(1)
+    assert best.length == pytest.approx(0.3 * 2 * math.pi)  # measured from end to end
 
 
 def test_main_directions(spark):
@@ -27,8 +28,10 @@ def test_main_directions(spark):
             a = r.uniform(0, 2 * math.pi)
             n = math.cos(a) * turn[:, (k + 1) % 3] + math.sin(a) * turn[:, (k + 2) % 3]
             rows.append((*map(float, n), 1.0))
-    arcs = spark.createDataFrame(rows, "nx double, ny double, nz double, weight double")
-    got = np.array(walls.manhattan_directions(arcs, level=3))
+    arcs = spark.createDataFrame([("a", *r) for r in rows] + [("b", 0.0, 0.0, 1.0, 0.0)], "k string, nx double, ny double, nz double, weight double")
+    found = walls.manhattan_frames(arcs, "k").orderBy("k", "axis").collect()
+    assert [r.k for r in found] == ["a"] * 3 + ["b"] * 3
+    got = np.array([[r.x, r.y, r.z] for r in found[:3]])
     assert np.sort(np.abs(got @ turn).max(1)).min() > 0.99
     assert np.abs(got @ got.T - np.eye(3)).max() < 0.05
 
@@ -93,3 +96,32 @@ def test_rooms_along_axes(spark):
     pixels = walls.corner_pixels(spark.createDataFrame([("a", 0, 1.0, 1.0), ("a", 1, -1.0, 1.0), ("a", 2, -1.0, -1.0), ("a", 3, 1.0, -1.0)], "k string, seq int, x double, y double"), "k", F.lit(1.5), 512, 1024).orderBy("seq").collect()
     assert [round(r.u + 0.5) for r in pixels] == [128, 896, 640, 384]
     assert all(256 < r.v < 512 for r in pixels)
+
+
+def test_ends_of_walls():
+    from planarium.operators.walls import _ends
+
+    dots = np.array([[x, 0.0] for x in np.linspace(1, 9, 17)])
+    far = np.array([[0.0, 0.0], [10.0, 0.0], [40.0, 0.0]])
+    # no point is within the radius of any crossing until it has grown
+    assert _ends(0, 0, 1, 0, dots, far, 0.25, 2.0, 5, 2.0)[:4] == (0, 0, 10, 0)
+    # an end too far away gives way to the line's own on that side, both to both
+    assert _ends(0, 0, 1, 0, dots, np.array([[0.5, 0.0], [40.0, 0.0]]), 0.6, 2.0, 5, 1.0)[:4] == (0.5, 0, 9, 0)
+    assert _ends(0, 0, 1, 0, dots, np.array([[-30.0, 0.0], [40.0, 0.0]]), 0.6, 2.0, 5, 1.0)[:4] == (1, 0, 9, 0)
+    assert _ends(0, 0, 1, 0, dots, far[:1], 0.6, 2.0, 5, 1.0) == (1, 0, 9, 0, 0)
+
+
+def test_lines_are_even_and_drawn(spark):
+    from planarium.operators import fitting
+
+    r = np.random.default_rng(2)
+    dots = [("a", k, float(x), 0.0) for k, x in enumerate(np.linspace(0, 10, 60))] + [("a", 100 + k, 3.0 + float(r.normal(0, 0.01)), float(5 + r.normal(0, 0.01))) for k in range(59)]
+    dots += [("b", 0, 1.0, 1.0), ("b", 1, 1.0, 1.0), ("c", 0, 0.0, 0.0), ("c", 1, 1.0, 0.0), ("d", 0, 1.0, 1.0)]
+    table = spark.createDataFrame(dots, "k string, id int, x double, y double")
+    for drawn in (None, 3000):
+        got = fitting.fit_lines(table, ["k"], "id", "x", "y", 0.05, outliers=0.6, drawn=drawn).collect()
+        first = [g for g in got if g.k == "a"][0]
+        assert (first.line, first.inliers, abs(first.by)) == (0, 60, 0.0) and first.uniformity > 0.09  # as many points in one place are no wall
+        assert {g.k for g in got} == {"a", "c"}
+    pairs = [p for a, b in fitting._pairs(9, 10, None, 0) for p in zip(a.tolist(), b.tolist())]
+    assert pairs == [(i, j) for i in range(9) for j in range(i + 1, 9)]
