@@ -83,16 +83,14 @@ def _reducer(damping: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         r, jc, jp, v, w = _blocks(rows, damping)
-        g = np.einsum("nki,nk->i", jp, r)
-        ids, out = rows["cam_id"].to_numpy(), []
-        for a in range(len(rows)):
-            right = jc[a].T @ r[a] - w[a] @ v @ g
-            out += [(ids[a], -1, i, 0, right[i]) for i in range(6)]
-            own = jc[a].T @ jc[a]
-            for b in range(len(rows)):
-                block = -w[a] @ v @ w[b].T + (own if a == b else 0)
-                out += [(ids[a], ids[b], i, j, block[i, j]) for i in range(6) for j in range(6)]
-        return pd.DataFrame(out, columns=["a", "b", "i", "j", "value"])
+        g, ids, n = np.einsum("nki,nk->i", jp, r), rows["cam_id"].to_numpy(), len(rows)
+        right = np.einsum("nki,nk->ni", jc, r) - w @ (v @ g)
+        block = -np.einsum("aij,jk,blk->abil", w, v, w)
+        block[np.arange(n), np.arange(n)] += np.einsum("nki,nkj->nij", jc, jc)
+        a, b, i, j = (x.ravel() for x in np.indices(block.shape))
+        sides, axis = (x.ravel() for x in np.indices(right.shape))
+        columns = {"a": np.r_[ids[sides], ids[a]], "b": np.r_[np.full(len(sides), -1), ids[b]], "i": np.r_[axis, i], "j": np.r_[np.zeros(len(axis), int), j], "value": np.r_[right.ravel(), block.ravel()]}
+        return pd.DataFrame(columns)
 
     return reduce
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import layout, sequences
+from .graphs import checkpointed
 
 
 def outline(points: DataFrame, key: str, step: float, gap: int, width: int, share: float) -> DataFrame:
@@ -22,8 +23,8 @@ def outline(points: DataFrame, key: str, step: float, gap: int, width: int, shar
     x = F.col("x0") + F.col("bin") * step + step / 2
     sides = F.explode(F.array("low_s", "high_s")).alias("y")
     border = filled.select(key, x.alias("x"), sides)
-    middle = border.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    far = border.join(middle, key).withColumn("r", F.expr("sqrt(pow(x - mx, 2) + pow(y - my, 2))"))
+    room = Window.partitionBy(key)
+    far = border.withColumn("mx", F.avg("x").over(room)).withColumn("my", F.avg("y").over(room)).withColumn("r", F.expr("sqrt(pow(x - mx, 2) + pow(y - my, 2))"))
     return sequences.trim_above_quantile(far, [key], "r", share).select(key, "x", "y")
 
 
@@ -40,7 +41,7 @@ def floor_plan(walls: DataFrame, openings: DataFrame, key: str, floor: str, room
 
     walls and openings are points (key, x, y); rooms says which floor (key, floor) each room is on.
     """
-    rects = rectangles(walls, key, **how)
+    rects = checkpointed(rectangles(walls, key, **how))  # a row a room, used four times
     placed = layout.openings_on_rectangle(openings.select(key, F.col("x").alias("px"), F.col("y").alias("py")), rects, [key])
     counts = placed.groupBy(key).agg(F.countDistinct("edge", F.round("x", 3), F.round("y", 3)).alias("n_openings"))
     sized = rects.join(rooms, key)
