@@ -153,7 +153,9 @@ def read_back(chats: DataFrame) -> DataFrame:
 
     Everything is read from what format_chats wrote: turns by the template's marks, loss text by the loss spans.
     turns_sha256 hashes role, line feed, text, line feed for each turn; loss_sha256 all text under the loss mask. A
-    conversation's parts stream through its hashes in order, so none has to fit in memory as a whole.
+    conversation's parts stream through its hashes in order, so none has to fit in memory as a whole. Null roles and
+    texts were laid out as empty ones; rows that repeated are turns like any others; a null conv_id is a conversation of
+    its own. Other columns are not read; no rows give no rows.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

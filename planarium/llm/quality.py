@@ -199,7 +199,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def select(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
-    """The rows of docs, all columns, whose probability of the best grade is at least `least`; null texts are judged as empty."""
+    """The rows of docs, all columns, whose probability of the best grade is at least `least`.
+
+    Null texts are judged as empty ones; rows that repeat go or stay together; without a model (no labels) all stay; no
+    rows give no rows. docs has a column text; others only pass through.
+    """
     spark = prepare(docs.sparkSession)
     known = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")

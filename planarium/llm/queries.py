@@ -10,15 +10,21 @@ from .common import prepare, read, written
 
 
 def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) over all of embeddings; vectors with nulls or infinite components take no part, ties go
+    to the smaller vec_id. For repeated ids see kdtree.top_k."""
     return kdtree.top_k(read(prepare(spark), sf_dir, "embeddings"), k=20, every=20)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of documents; null, empty and blank texts have fingerprint 0 and link
+    like any other, repeated rows come back as often, and a null doc_id links nothing."""
     found = simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of documents; `und` with score 0 for null texts and texts without a
+    letter, ties to the language first in order, a null doc_id held out."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.where(~language.held_out()))
     found = language.predict(docs.select("doc_id", "text"), model)
@@ -26,14 +32,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row of documents; a null text counts as an empty one, repeated rows
+    count each time, a null doc_id stays null."""
     return token_counts.count_tokens(read(prepare(spark), sf_dir, "documents"))
 
 
 def op5_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, text_sha256, lossless) for every row of documents; null and empty texts have no tokens,
+    repeated rows the same ones."""
     return dropout.round_trip(read(prepare(spark), sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) for every row of pages, read back through the index;
+    null html is an empty payload, a null url has an empty key, and of equal payloads the largest page_id is the response."""
     pages = read(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
     _, directory = warc.write(pages)
     captures = warc.lookup(directory, warc.keys_of(pages))
@@ -41,22 +53,30 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word) for each document and benchmark item that it holds, over all documents;
+    null and empty texts hold nothing, repeated rows are found each time."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row of documents; null and empty texts have no words, and rows of
+    one doc_id, or without one, take nothing from each other."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, expected_grade, p_good, p_clean, keep) for every row of documents; a null text is judged as an empty one, and
+    without labels everything is kept."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model).withColumn("keep", F.col("p_good") >= quality.LEAST)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) for every conversation and -1; null roles and
+    texts are empty ones, and turns that tie go by role, then text."""
     turns = read(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
