@@ -115,7 +115,7 @@ def _spans(columns: list[np.ndarray], docs: np.ndarray) -> tuple[list[np.ndarray
 
 _ENTRIES = "shard int, bucket int, name binary, check binary, least binary, reach binary"
 _REPLIES = "bucket int, name binary, check binary, least binary, target binary"
-_PASSAGES = "least long, words binary, targets array<int>"
+_PASSAGES = "bucket int, least binary, words binary"
 
 
 def _entries(bucket: int, shards: int, names: list[np.ndarray], least: np.ndarray, most: np.ndarray) -> pa.Table:
@@ -198,7 +198,7 @@ def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def _passages(found: Windows, replies: pa.Table) -> pa.Table:
-    """The words of the confirmed windows that this bucket's documents are the first to hold, and who needs them.
+    """The words of the confirmed windows that this bucket's documents are the first to hold, a row for each bucket in need.
 
     Each window is sent once, from its first place in the document. A run of neighbouring windows that the same buckets
     need is a passage; it goes in stretches of STRETCH words that overlap by a window less a word.
@@ -232,16 +232,19 @@ def _passages(found: Windows, replies: pa.Table) -> pa.Table:
     runs = np.flatnonzero(new)
     window, wide = found.window, max(STRETCH, found.window)
     docs = np.searchsorted(found.starts, place[runs], "right") - 1
-    rows: list[list] = [[], [], []]
+    first_docs, said, needed = [], [], []
     for k, low, n, doc in zip(at[runs].tolist(), place[runs].tolist(), np.diff(np.r_[runs, len(at)]).tolist(), docs.tolist()):
         words, low = found.words[doc], low - int(found.starts[doc])
         for first in range(low, low + n, wide - window + 1):
-            rows[0].append(int(found.docs[doc]))
-            rows[1].append(b" ".join(words[first : min(first + wide, low + n + window - 1)]))
-            rows[2].append(target[start[k] : end[k]])
-    ends = np.r_[0, np.cumsum([len(x) for x in rows[2]], dtype=np.int64)]
-    targets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows[2]])))
-    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), targets], ["least", "words", "targets"])
+            first_docs.append(int(found.docs[doc]))
+            said.append(b" ".join(words[first : min(first + wide, low + n + window - 1)]))
+            needed.append(target[start[k] : end[k]])
+    to = np.concatenate([np.zeros(0, np.int32), *needed])
+    which = np.repeat(np.arange(len(said)), [len(x) for x in needed])
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    rows = [(int(to[own[0]]), _planes(np.array(first_docs, np.int64)[which[own]]), b"\n".join([said[k] for k in which[own].tolist()])) for own in np.split(order, cuts)] if len(order) else []
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "least", "words"])
 
 
 def _spelled(codes: np.ndarray) -> str:
@@ -371,7 +374,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
         wanted = pa.array(np.unique(_joined(replies, "least", np.int64)) if replies.num_rows else np.zeros(0, np.int64))
         table = table.filter(pc.is_in(table.column("doc_id"), wanted))
         found = Windows(table.column("text"), table.column("doc_id"), window, keep=True)
-        return _passages(found, replies) if replies.num_rows else pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))], ["least", "words", "targets"])
+        return _passages(found, replies) if replies.num_rows else pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "least", "words"])
 
     def finished(table: pa.Table, words: list[list[bytes]], gone: list[np.ndarray]) -> dict[str, pa.Array]:
         kept, digest = [], []
@@ -388,7 +391,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
 
     def fourth(table: pa.Table, passages: pa.Table) -> pa.Table:
         words = [(text.as_py() or "").encode().split() for text in table.column("text")]
-        sent = [(w.split(b" "), d) for w, d in zip(passages.column("words").to_pylist(), passages.column("least").to_pylist())]
+        sent = [
+            (said.split(b" "), doc)
+            for text, least in zip(passages.column("words").to_pylist(), passages.column("least").to_pylist())
+            for said, doc in zip(text.split(b"\n"), _unplanes(least).tolist())
+        ]
         gone = covered(words, table.column("doc_id").to_numpy(), sent, window, phrase)
         return pa.table(finished(table, words, gone))
 
@@ -404,7 +411,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
     shared = met(base.groupBy("bucket").applyInArrow(first, _ENTRIES), _recurring)
     windows = met(base.groupBy("bucket").cogroup(shared).applyInArrow(second, _ENTRIES), _confirmed)
     sent = base.groupBy("bucket").cogroup(windows).applyInArrow(third, _PASSAGES)
-    sent = sent.select("least", "words", F.explode("targets").alias("bucket"))
     schema = T.StructType([f for f in base.schema.fields if f.name != "bucket"])
     schema = schema.add("words", "long").add("removed", "long").add("digest", "string")
     out = base.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(fourth, schema)
