@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planarium.llm import decontaminate, dropout, near, quality, substrings
-from planarium.llm.common import prepare, read, written
+from planarium.llm.common import discard, prepare, read, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's table is deleted once the next is written."""
     docs = read(prepare(spark), sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    for k, (name, stage) in enumerate(STAGES):
+        found = written(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = found
+    return docs
