@@ -23,6 +23,11 @@ def _normalised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (p - mean) * s, t
 
 
+def _least(m: np.ndarray) -> np.ndarray:
+    """The unit vector that m makes shortest. The left singular vectors, as many as rows squared, are never built whole."""
+    return np.linalg.svd(m, full_matrices=len(m) < m.shape[1])[2][-1]
+
+
 def homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The 3 x 3 map from a to b by the direct linear transform, its last entry 1 where that is possible."""
     (p, t), (q, u) = _normalised(a), _normalised(b)
@@ -37,7 +42,7 @@ def fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank-two matrix F with b' F a = 0, from eight pairs or more."""
     (p, t), (q, u) = _normalised(a), _normalised(b)
     p, q = (np.c_[x, np.ones(len(x))] for x in (p, q))
-    f = np.linalg.svd((q[:, :, None] * p[:, None, :]).reshape(len(p), 9))[2][-1].reshape(3, 3)
+    f = _least((q[:, :, None] * p[:, None, :]).reshape(len(p), 9)).reshape(3, 3)
     u_, s, v = np.linalg.svd(f)
     f = u.T @ (u_ * [s[0], s[1], 0]) @ v @ t
     return f / np.linalg.norm(f)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -98,3 +99,18 @@ def test_models_are_plugged_in(spark):
     got = infer.labels(table, infer.brightness_prompts).collect()
     assert {(r.col < 3, r.label) for r in got} == {(True, 1), (False, 5)} and len(got) == 24
     assert infer.depths(table, infer.row_depth).where("row = 2").first().d == 1.0
+
+
+def _peak(call, *given):
+    tracemalloc.start()
+    try:
+        call(*given)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_fundamental_of_many_matches_stays_small():
+    _, _, _, p, q = scene(5, 5000)
+    assert _peak(vision.fundamental, p, q) < 50  # 5,000 squared doubles are 200 MB
+    assert vision.epipolar_errors(vision.fundamental(p, q), p, q).max() < 1e-9
