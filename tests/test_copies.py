@@ -30,3 +30,8 @@ def both(spark, folder):
 def test_affine_errors_at_the_tolerance(both):
     mine, theirs = both("affine_hypotheses")
     assert mine == theirs and len(mine) == 150
+
+
+def test_rectified_rows_of_many_matches(both):
+    mine, theirs = both("rectified_rows")
+    assert mine == theirs and len(mine) == 5

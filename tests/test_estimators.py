@@ -114,3 +114,11 @@ def test_fundamental_of_many_matches_stays_small():
     _, _, _, p, q = scene(5, 5000)
     assert _peak(vision.fundamental, p, q) < 50  # 5,000 squared doubles are 200 MB
     assert vision.epipolar_errors(vision.fundamental(p, q), p, q).max() < 1e-9
+
+
+def test_poses_of_many_matches_stay_small():
+    _, _, _, p, q = scene(6, 5000)
+    k = vision.intrinsics(640, 480)
+    a, b = (np.c_[z, np.ones(len(z))] @ k.T for z in (p, q))
+    rows = pd.DataFrame(np.c_[a[:, :2], b[:, :2]], columns=["x1", "y1", "x2", "y2"])
+    assert _peak(vision._pair_poses, (1,), rows, k, 0.5, 8, 0, False) < 50  # rectified_rows, triangulated_points and two_view_poses start here
