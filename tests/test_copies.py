@@ -35,3 +35,8 @@ def test_affine_errors_at_the_tolerance(both):
 def test_rectified_rows_of_many_matches(both):
     mine, theirs = both("rectified_rows")
     assert mine == theirs and len(mine) == 5
+
+
+def test_triangulated_points_of_many_matches(both):
+    mine, theirs = both("triangulated_points")
+    assert mine == theirs and len(mine) == 12_000
