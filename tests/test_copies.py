@@ -40,3 +40,8 @@ def test_rectified_rows_of_many_matches(both):
 def test_triangulated_points_of_many_matches(both):
     mine, theirs = both("triangulated_points")
     assert mine == theirs and len(mine) == 12_000
+
+
+def test_two_view_poses_of_many_matches(both):
+    mine, theirs = both("two_view_poses")
+    assert mine == theirs and len(mine) == 5
