@@ -34,7 +34,7 @@ def homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     zero, one = np.zeros(len(p)), np.ones(len(p))
     top = np.stack([-p[:, 0], -p[:, 1], -one, zero, zero, zero, q[:, 0] * p[:, 0], q[:, 0] * p[:, 1], q[:, 0]], 1)
     low = np.stack([zero, zero, zero, -p[:, 0], -p[:, 1], -one, q[:, 1] * p[:, 0], q[:, 1] * p[:, 1], q[:, 1]], 1)
-    h = np.linalg.solve(u, np.linalg.svd(np.concatenate([top, low]))[2][-1].reshape(3, 3)) @ t
+    h = np.linalg.solve(u, _least(np.concatenate([top, low])).reshape(3, 3)) @ t
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h
 
 

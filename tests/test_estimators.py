@@ -122,3 +122,11 @@ def test_poses_of_many_matches_stay_small():
     a, b = (np.c_[z, np.ones(len(z))] @ k.T for z in (p, q))
     rows = pd.DataFrame(np.c_[a[:, :2], b[:, :2]], columns=["x1", "y1", "x2", "y2"])
     assert _peak(vision._pair_poses, (1,), rows, k, 0.5, 8, 0, False) < 50  # rectified_rows, triangulated_points and two_view_poses start here
+
+
+def test_homography_of_many_matches_stays_small():
+    a = np.random.default_rng(7).uniform(0, 10, (3000, 2))
+    m = np.c_[a, np.ones(3000)] @ np.array([[1.1, 0.2, 3], [-0.1, 0.9, 1], [0.01, 0.02, 1]]).T
+    b = m[:, :2] / m[:, 2:]
+    assert _peak(vision.homography, a, b) < 50  # two rows a match: 6,000 squared doubles are 288 MB
+    assert vision.transfer_errors(vision.homography(a, b), a, b).max() < 1e-8
