@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -35,8 +35,9 @@ from .common import arrow, prepare
 
 #: UTF-8 bytes of text to a bucket, and as much again in entries to a shard.
 BUCKET_BYTES = 8 << 20
-#: Words of passages to an automaton (at most 64 ** 3), words to a stretch of a passage, words compared at once.
-PATTERN_WORDS, STRETCH, CELLS = 250_000, 64, 1 << 20
+#: Words of passages to an automaton (at most 64 ** 3), words to a stretch of a passage, words compared at once, words
+#: searched at once.
+PATTERN_WORDS, STRETCH, CELLS, SPAN = 250_000, 64, 1 << 19, 1 << 17
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -249,56 +250,82 @@ def _passages(found: Windows, replies: pa.Table) -> pa.Table:
 
 def _spelled(codes: np.ndarray) -> str:
     """Three characters a word, each one of 64 of its own, as an automaton's nodes look their branches up one by one."""
-    parts = np.stack([0x100 + (codes & 63), 0x200 + (codes >> 6 & 63), 0x300 + (codes >> 12)], 1)
+    parts = np.empty((len(codes), 3), "<u2")
+    for k, low in enumerate((0x100, 0x200, 0x300)):
+        parts[:, k] = low + (codes >> 6 * k & 63)
     parts[codes < 0] = 1
-    return parts.astype("<u4").tobytes().decode("utf-32-le")
+    return parts.tobytes().decode("utf-16-le")
 
 
-def covered(words: list[list[bytes]], docs: np.ndarray, passages: list[tuple[list[bytes], int]], window: int, phrase: int) -> list[np.ndarray]:
+def covered(words: Iterable[list[bytes]], docs: np.ndarray, passages: Iterable[tuple[list[bytes], int]], window: int, phrase: int) -> list[np.ndarray]:
     """For each document, which of its words lie in a window that also stands in a passage whose doc_id is smaller.
 
     Every window of a passage holds a phrase that is a pattern of the automaton: the one that the passages repeat least.
+    Words become numbers as they come, and documents are searched by spans of SPAN words, so memory doesn't grow with
+    the number of phrases that are found.
     """
-    sizes = np.array([len(w) for w in words], np.int64)
+    codes: dict[bytes, int] = {}
+    parts, passage_sizes, firsts = [np.zeros(0, np.int32)], [], []
+    for own, first in passages:
+        parts.append(np.fromiter((codes.setdefault(w, len(codes)) for w in own), np.int32, len(own)))
+        passage_sizes.append(len(own))
+        firsts.append(first)
+    said = np.concatenate(parts)
+    parts, lengths = [np.zeros(0, np.int32)], []
+    for own in words:
+        parts.append(np.fromiter(map(codes.get, own, repeat(-1)), np.int32, len(own)))
+        lengths.append(len(own))
+    every = np.concatenate(parts)
+    kinds = len(codes)
+    del parts, codes
+    sizes = np.array(lengths, np.int64)
     ends = np.cumsum(sizes)
-    every = [w for own in words for w in own]
-    marks = np.zeros(len(every) + 1, np.int64)
+    marks = np.zeros(len(every) + 1, np.int32)
+    upto = np.cumsum(passage_sizes, dtype=np.int64)
     low = 0
-    while low < len(passages) and len(every):
-        high, taken = low, 0
-        while high < len(passages) and (high == low or taken + len(passages[high][0]) <= PATTERN_WORDS):
-            taken += len(passages[high][0])
-            high += 1
-        codes: dict[bytes, int] = {}
-        flat = np.array([codes.setdefault(w, len(codes)) for own, _ in passages[low:high] for w in own], np.int64)
-        size = np.array([len(own) for own, _ in passages[low:high]], np.int64)
-        least = np.array([d for _, d in passages[low:high]], np.int64)
+    while low < len(firsts) and len(every):
+        before = int(upto[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, before + PATTERN_WORDS, "right")))
+        flat = said[before : int(upto[high - 1])]
+        known = np.unique(flat)
+        number = np.full(kinds + 1, -1, np.int32)  # the last one is for words that no passage has
+        number[known] = np.arange(len(known), dtype=np.int32)
+        _mark(marks, every, number, ends, sizes, docs, number[flat], np.array(passage_sizes[low:high], np.int64), np.array(firsts[low:high], np.int64), window, phrase)
         low = high
-        start = np.cumsum(size) - size
-        left = np.repeat(start + size, size) - np.arange(len(flat))  # words from here to the passage's end
-        _, kind, many = np.unique(_rolled(_mix(flat.astype(np.uint64) + _A), phrase, _B), return_inverse=True, return_counts=True)
-        common = np.r_[many[kind], np.full(len(flat) - len(kind), len(flat))]
-        at = np.flatnonzero(left >= window)
-        rarest = np.stack([common[at + j] for j in range(window - phrase + 1)]).argmin(0)
-        seeds = np.unique(at + rarest)
-        spelled = _spelled(flat)
-        patterns: dict[str, list[int]] = {}
-        for k in seeds.tolist():
-            patterns.setdefault(spelled[3 * k : 3 * (k + phrase)], []).append(k)
-        automaton = ahocorasick.Automaton()
-        for k, pattern in enumerate(patterns):
-            automaton.add_word(pattern, k)
-        automaton.make_automaton()
-        text = np.fromiter(map(codes.get, every, repeat(-1)), np.int64, len(every))
-        found = np.array(list(automaton.iter(_spelled(text))), np.int64).reshape(-1, 2)
-        places = list(patterns.values())
-        times = np.array([len(x) for x in places], np.int64)
-        first = np.cumsum(times) - times
-        flat_places = np.array([x for own in places for x in own], np.int64)
-        hit, kind = found[:, 0] // 3 - phrase + 1, found[:, 1]
-        for block in np.array_split(np.arange(len(hit)), max(1, int(times[kind].sum()) * STRETCH // CELLS)):
+    gone = np.cumsum(marks[:-1]) > 0
+    return np.split(gone, ends[:-1]) if len(lengths) else []
+
+
+def _mark(marks: np.ndarray, every: np.ndarray, number: np.ndarray, ends: np.ndarray, sizes: np.ndarray, docs: np.ndarray, flat: np.ndarray, size: np.ndarray, least: np.ndarray, window: int, phrase: int) -> None:
+    """Add 1 to marks where a window begins that a passage has too, and take 1 where it has ended; one automaton's passages."""
+    start = np.cumsum(size) - size
+    left = np.repeat(start + size, size) - np.arange(len(flat))  # words from here to the passage's end
+    _, kind, many = np.unique(_rolled(_mix(flat.astype(np.uint64) + _A), phrase, _B), return_inverse=True, return_counts=True)
+    common = np.r_[many[kind], np.full(len(flat) - len(kind), len(flat))]
+    at = np.flatnonzero(left >= window)
+    rarest = np.stack([common[at + j] for j in range(window - phrase + 1)]).argmin(0)
+    seeds = np.unique(at + rarest)
+    spelled = _spelled(flat)
+    patterns: dict[str, int] = {}
+    which = np.array([patterns.setdefault(spelled[3 * k : 3 * (k + phrase)], len(patterns)) for k in seeds.tolist()], np.int64)
+    del spelled
+    automaton = ahocorasick.Automaton()
+    for pattern, k in patterns.items():
+        automaton.add_word(pattern, k)
+    automaton.make_automaton()
+    times = np.bincount(which, minlength=len(patterns))
+    del patterns
+    first = np.cumsum(times) - times
+    places = seeds[np.argsort(which, kind="stable")]
+    for low in range(0, len(every), SPAN):
+        lead = max(0, low - phrase + 1)  # a phrase that ends in this span may begin before it
+        found = np.array(list(automaton.iter(_spelled(number[every[lead : low + SPAN]]))), np.int64).reshape(-1, 2)
+        hit, kind = found[:, 0] // 3 - phrase + 1 + lead, found[:, 1]
+        upto = np.cumsum(times[kind])
+        cuts = np.searchsorted(upto, np.arange(CELLS // STRETCH, upto[-1] if len(upto) else 0, CELLS // STRETCH))
+        for block in np.split(np.arange(len(hit)), np.unique(cuts)):
             n = times[kind[block]]
-            seed = flat_places[np.repeat(first[kind[block]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            seed = places[np.repeat(first[kind[block]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
             own = np.searchsorted(start, seed, "right") - 1
             doc = np.searchsorted(ends, np.repeat(hit[block], n), "right")
             begin = np.repeat(hit[block], n) - (seed - start[own])  # where the whole passage would start
@@ -306,16 +333,21 @@ def covered(words: list[list[bytes]], docs: np.ndarray, passages: list[tuple[lis
             if not good.any():
                 continue
             begin, own, doc = np.unique(np.stack([begin[good], own[good], doc[good]]), axis=1)
-            wide = np.arange(int(size[own].max()))[None, :]
-            there = begin[:, None] + wide
-            same = (wide < size[own][:, None]) & (there >= (ends - sizes)[doc][:, None]) & (there < ends[doc][:, None])
-            same &= text[np.clip(there, 0, len(text) - 1)] == flat[np.minimum(start[own][:, None] + wide, len(flat) - 1)]
-            upto = np.concatenate([np.zeros((len(own), 1), np.int64), same.cumsum(1)], 1)
-            row, col = np.nonzero(upto[:, window:] - upto[:, :-window] == window)
-            np.add.at(marks, begin[row] + col, 1)
-            np.add.at(marks, begin[row] + col + window, -1)
-    gone = np.cumsum(marks[:-1]) > 0
-    return np.split(gone, ends[:-1]) if len(words) else []
+            step = max(1, CELLS // int(size[own].max()))
+            for k in range(0, len(own), step):
+                _compare(marks, every, number, ends, sizes, flat, start, size, begin[k : k + step], own[k : k + step], doc[k : k + step], window)
+
+
+def _compare(marks: np.ndarray, every: np.ndarray, number: np.ndarray, ends: np.ndarray, sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray, begin: np.ndarray, own: np.ndarray, doc: np.ndarray, window: int) -> None:
+    """Word by word: the passage `own` laid over the document `doc`, its first word at the place `begin`."""
+    wide = np.arange(int(size[own].max()))[None, :]
+    there = begin[:, None] + wide
+    same = (wide < size[own][:, None]) & (there >= (ends - sizes)[doc][:, None]) & (there < ends[doc][:, None])
+    same &= number[every[np.clip(there, 0, len(every) - 1)]] == flat[np.minimum(start[own][:, None] + wide, len(flat) - 1)]
+    upto = np.concatenate([np.zeros((len(own), 1), np.int32), same.cumsum(1, dtype=np.int32)], 1)
+    row, col = np.nonzero(upto[:, window:] - upto[:, :-window] == window)
+    np.add.at(marks, begin[row] + col, 1)
+    np.add.at(marks, begin[row] + col + window, -1)
 
 
 def _cut(text: str, words: list[bytes], gone: np.ndarray) -> tuple[str, str]:
@@ -376,34 +408,33 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
         found = Windows(table.column("text"), table.column("doc_id"), window, keep=True)
         return _passages(found, replies) if replies.num_rows else pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "least", "words"])
 
-    def finished(table: pa.Table, words: list[list[bytes]], gone: list[np.ndarray]) -> dict[str, pa.Array]:
-        kept, digest = [], []
-        for text, own, g in zip(table.column("text"), words, gone):
-            value = text.as_py()
+    def split(table: pa.Table) -> Iterator[list[bytes]]:
+        return ((text.as_py() or "").encode().split() for text in table.column("text"))
+
+    def finished(table: pa.Table, gone: Iterable[np.ndarray | None]) -> dict[str, pa.Array]:
+        kept, digest, sizes = [], [], []
+        for text, own, g in zip(table.column("text"), split(table), gone):
+            value, g = text.as_py(), np.zeros(len(own), bool) if g is None else g
             cut, h = _cut(value or "", own, g)
             kept.append(None if value is None else cut)
             digest.append(h)
+            sizes.append((len(own), int(g.sum())))
         out = {"doc_id": table.column("doc_id"), "text": pa.array(kept, pa.string())}
         if "rest" in table.column_names:
             out["rest"] = table.column("rest")
-        sizes = ([len(w) for w in words], [int(g.sum()) for g in gone])
-        return out | {"words": pa.array(sizes[0], pa.int64()), "removed": pa.array(sizes[1], pa.int64()), "digest": pa.array(digest, pa.string())}
+        return out | {"words": pa.array([n for n, _ in sizes], pa.int64()), "removed": pa.array([n for _, n in sizes], pa.int64()), "digest": pa.array(digest, pa.string())}
 
     def fourth(table: pa.Table, passages: pa.Table) -> pa.Table:
-        words = [(text.as_py() or "").encode().split() for text in table.column("text")]
-        sent = [
+        sent = (
             (said.split(b" "), doc)
-            for text, least in zip(passages.column("words").to_pylist(), passages.column("least").to_pylist())
-            for said, doc in zip(text.split(b"\n"), _unplanes(least).tolist())
-        ]
-        gone = covered(words, table.column("doc_id").to_numpy(), sent, window, phrase)
-        return pa.table(finished(table, words, gone))
+            for text, least in zip(passages.column("words"), passages.column("least"))
+            for said, doc in zip(text.as_py().split(b"\n"), _unplanes(least.as_py()).tolist())
+        )
+        return pa.table(finished(table, covered(split(table), table.column("doc_id").to_numpy(), sent, window, phrase)))
 
     def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            words = [(text.as_py() or "").encode().split() for text in table.column("text")]
-            yield from pa.table(finished(table, words, [np.zeros(len(w), bool) for w in words])).to_batches()
+            yield from pa.table(finished(pa.Table.from_batches([batch]), repeat(None))).to_batches()
 
     def met(entries: DataFrame, step) -> DataFrame:
         return entries.repartition(count, "shard").mapInArrow(step, _REPLIES).groupBy("bucket")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -91,3 +92,16 @@ def test_empty(spark):
     assert substrings.remove_repeats(docs).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert substrings.remove_repeats(one).first().n_removed == 0
+
+
+def test_memory_does_not_grow_with_the_phrases_found(monkeypatch):
+    monkeypatch.setattr(substrings, "SPAN", 1 << 12, raising=False)
+    monkeypatch.setattr(substrings, "CELLS", 1 << 15)
+    words, peaks = [b"a"] * 10_000, []
+    for n in (2, 8):
+        tracemalloc.start()
+        got = substrings.covered([words] * n, np.arange(1, n + 1), [([b"a"] * 64, 0)], 13, 7)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert all(g.all() for g in got)
+    assert peaks[1] - peaks[0] < 60_000 * 60  # of 60,000 words more, at most 60 bytes each; a phrase found took over 150
