@@ -72,10 +72,11 @@ def moved_to_cells(points: DataFrame, cells: DataFrame, keys: list[str]) -> Data
     """points (keys, id, x, y) with `sp`, the superpixel whose pixel they fall on, or the one of the last of the eight
     pixels around that has one; none outside the image."""
     around = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in enumerate([(0, 0), *((i, j) for i in (1, 0, -1) for j in (1, 0, -1) if i or j)])))
-    near = points.select(*keys, "id", F.floor("y").cast("int").alias("_y"), F.floor("x").cast("int").alias("_x"), F.explode(around).alias("o"))
-    near = near.select(*keys, "id", (F.col("_y") + F.col("o.i")).alias("row"), (F.col("_x") + F.col("o.j")).alias("col"), "o.rank")
-    hit = near.join(cells.select(*keys, "row", "col", "sp"), [*keys, "row", "col"]).groupBy(*keys, "id").agg(F.min_by("sp", "rank").alias("sp"))
-    return points.join(hit, [*keys, "id"], "left")
+    # each pixel says its superpixel to those around it; tables of pixels are as large as points, so neither is broadcast
+    told = cells.where("sp is not null").select(*keys, "row", "col", "sp", F.explode(around).alias("o"))
+    told = told.groupBy(*keys, (F.col("row") - F.col("o.i")).cast("int").alias("_y"), (F.col("col") - F.col("o.j")).cast("int").alias("_x")).agg(F.min_by("sp", "o.rank").alias("sp"))
+    placed = points.withColumn("_y", F.floor("y").cast("int")).withColumn("_x", F.floor("x").cast("int"))
+    return placed.join(told.hint("merge"), [*keys, "_y", "_x"], "left").select(*points.columns, "sp")
 
 
 def with_columns_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -45,3 +45,10 @@ def test_triangulated_points_of_many_matches(both):
 def test_two_view_poses_of_many_matches(both):
     mine, theirs = both("two_view_poses")
     assert mine == theirs and len(mine) == 5
+
+
+def test_cell_lookup_broadcasts_no_table_of_pixels(spark, folder, both):
+    text = QUERIES["projected_cell_lookup"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    mine, theirs = both("projected_cell_lookup")
+    assert len(mine) == 12_000 and set(mine) == set(theirs)
