@@ -1,9 +1,13 @@
 """Queries over parts that repeat with shifted keys: ties and differences at a tolerance that single rows seldom have."""
 
+import time
+
 import duckdb
+import numpy as np
 import pytest
 
 from planarium import plans
+from planarium.operators import fitting
 
 QUERIES, ORACLES = plans.load()
 
@@ -52,3 +56,19 @@ def test_cell_lookup_broadcasts_no_table_of_pixels(spark, folder, both):
     assert "SortMergeJoin" in text and "Broadcast" not in text
     mine, theirs = both("projected_cell_lookup")
     assert len(mine) == 12_000 and set(mine) == set(theirs)
+
+
+def _cpu(weights):
+    """CPU seconds of the best line of 40 points that each recur 50 times: two thousand points have two million pairs."""
+    r = np.random.default_rng(2)
+    x, y = np.tile(r.integers(0, 50, 40), 50).astype(float), np.tile(r.integers(0, 900, 40), 50).astype(float)
+    start = time.process_time()
+    fitting._best_line(x, y, 2.0, weights)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("name, weights", [("even_line", (1.0, 1.0))])
+def test_lines_of_points_that_repeat(both, name, weights):
+    mine, theirs = both(name)
+    assert mine == theirs and len(mine) >= 150
+    assert _cpu(weights) < 3
