@@ -67,7 +67,7 @@ def _cpu(weights):
     return time.process_time() - start
 
 
-@pytest.mark.parametrize("name, weights", [("even_line", (1.0, 1.0)), ("fixpoint_extraction", (1.0, 0.0))])
+@pytest.mark.parametrize("name, weights", [("even_line", (1.0, 1.0)), ("fixpoint_extraction", (1.0, 0.0)), ("ransac_exhaustive_line", (1.0, 0.0))])
 def test_lines_of_points_that_repeat(both, name, weights):
     mine, theirs = both(name)
     assert mine == theirs and len(mine) >= 150
