@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import importable as prepare
 from ..session import shared_root
 
-__all__ = ["arrow", "discard", "grouped", "prepare", "read", "shared_path", "shared_root", "sized", "written"]
+__all__ = ["arrow", "discard", "eased", "give_back", "grouped", "prepare", "read", "released", "shared_path", "shared_root", "sized", "written"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -43,9 +45,36 @@ def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def give_back() -> None:
+    """Hand what this worker has freed back to the system: idle workers live on, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, after which the worker gives back its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def eased(step: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """step(*tables), the rows of one group, after which the worker gives back its memory."""
+    try:
+        return step(*tables)
+    finally:
+        give_back()
+
+
 def arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(step, schema)
+    return df.mapInArrow(released(step), schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int, whole: bool = True) -> Iterator[pa.Table]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare
+from .common import arrow, prepare, released
 
 #: Words to a seed; scores of alignment; share of an item's best score from which a document holds it.
 SEED, MATCH, OTHER, GAP, LEAST = 3, 2, -1, -1, 0.5
@@ -235,5 +235,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n:
                     keep[[r[0] for r in _score(sent.value, batch.column(at).to_pylist(), least)]] = False
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(step, docs.schema)
+        docs = docs.mapInArrow(released(step), docs.schema)
     return docs

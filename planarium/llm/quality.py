@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, prepare
+from .common import arrow, prepare, released
 
 #: Hashed features as a power of two; words whose features a worker remembers.
 BITS, REMEMBERED = 20, 300_000
@@ -218,4 +218,4 @@ def select(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFr
             total = np.array([float(model.weights[features.of(texts[k].as_py() or "")].sum()) for k in range(len(batch))], np.float64)
             yield batch.filter(pa.array(model.tails(total)[:, 1] >= least))
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(released(step), docs.schema)

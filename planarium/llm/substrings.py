@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow, prepare
+from .common import arrow, eased, prepare, released
 
 #: UTF-8 bytes of text to a bucket, and as much again in entries to a shard.
 BUCKET_BYTES = 8 << 20
@@ -437,14 +437,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, phrase: int = 7, names: tu
             yield from pa.table(finished(pa.Table.from_batches([batch]), repeat(None))).to_batches()
 
     def met(entries: DataFrame, step) -> DataFrame:
-        return entries.repartition(count, "shard").mapInArrow(step, _REPLIES).groupBy("bucket")
+        return entries.repartition(count, "shard").mapInArrow(released(step), _REPLIES).groupBy("bucket")
 
-    shared = met(base.groupBy("bucket").applyInArrow(first, _ENTRIES), _recurring)
-    windows = met(base.groupBy("bucket").cogroup(shared).applyInArrow(second, _ENTRIES), _confirmed)
-    sent = base.groupBy("bucket").cogroup(windows).applyInArrow(third, _PASSAGES)
+    shared = met(base.groupBy("bucket").applyInArrow(lambda table: eased(first, table), _ENTRIES), _recurring)
+    windows = met(base.groupBy("bucket").cogroup(shared).applyInArrow(lambda table, replies: eased(second, table, replies), _ENTRIES), _confirmed)
+    sent = base.groupBy("bucket").cogroup(windows).applyInArrow(lambda table, replies: eased(third, table, replies), _PASSAGES)
     schema = T.StructType([f for f in base.schema.fields if f.name != "bucket"])
     schema = schema.add("words", "long").add("removed", "long").add("digest", "string")
-    out = base.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(fourth, schema)
+    out = base.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda table, passages: eased(fourth, table, passages), schema)
     out = out.union(arrow(docs.where("doc_id is null").select(*columns), unnamed, schema))
     back = {c: F.col(f"rest.c{k}").alias(c) for k, c in enumerate(others)}
     made = [F.col(c).alias(n) for c, n in zip(("words", "removed", "digest"), names)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..session import shared_root
 
 #: Parts that a node's neighbours are dealt into, so that no task has to hold all those of a star's centre.
 PARTS = 64
+#: Edges to a file of a round's checkpoint; writing many files of few rows takes longer than the rows.
+ROWS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,5 +46,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         small = _with_least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         moved = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(moved.distinct())
+        edges = checkpointed(moved.distinct().coalesce(math.ceil(state[0] / ROWS)))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
