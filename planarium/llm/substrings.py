@@ -18,9 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -38,7 +37,6 @@ BUCKET_BYTES = 8 << 20
 #: Words of passages to an automaton (at most 64 ** 3), words to a stretch of a passage, words compared at once, words
 #: searched at once.
 PATTERN_WORDS, STRETCH, CELLS, SPAN = 250_000, 64, 1 << 19, 1 << 17
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -260,7 +258,8 @@ def _spelled(codes: np.ndarray) -> str:
 def covered(words: Iterable[list[bytes]], docs: np.ndarray, passages: Iterable[tuple[list[bytes], int]], window: int, phrase: int) -> list[np.ndarray]:
     """For each document, which of its words lie in a window that also stands in a passage whose doc_id is smaller.
 
-    Every window of a passage holds a phrase that is a pattern of the automaton: the one that the passages repeat least.
+    Every window of a passage holds a phrase that is a pattern of the automaton: of those that the passages repeat least
+    one that neighbouring windows share.
     Words become numbers as they come, and documents are searched by spans of SPAN words, so memory doesn't grow with
     the number of phrases that are found.
     """
@@ -301,7 +300,8 @@ def _mark(marks: np.ndarray, every: np.ndarray, number: np.ndarray, ends: np.nda
     start = np.cumsum(size) - size
     left = np.repeat(start + size, size) - np.arange(len(flat))  # words from here to the passage's end
     _, kind, many = np.unique(_rolled(_mix(flat.astype(np.uint64) + _A), phrase, _B), return_inverse=True, return_counts=True)
-    common = np.r_[many[kind], np.full(len(flat) - len(kind), len(flat))]
+    common = 2 * np.r_[many[kind], np.full(len(flat) - len(kind), len(flat))]
+    common[:: window - phrase + 1] -= 1  # every window holds one of these places, which goes before others as rare
     at = np.flatnonzero(left >= window)
     rarest = np.stack([common[at + j] for j in range(window - phrase + 1)]).argmin(0)
     seeds = np.unique(at + rarest)
@@ -352,15 +352,19 @@ def _compare(marks: np.ndarray, every: np.ndarray, number: np.ndarray, ends: np.
 
 def _cut(text: str, words: list[bytes], gone: np.ndarray) -> tuple[str, str]:
     """The text without the words that go and the white space before them, and the hash of the words that stay."""
-    stay = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
     if not gone.any():
-        return text, hashlib.sha256(stay).hexdigest()
-    data, out, last, at = text.encode(), [], 0, 0
-    for k, m in enumerate(_WORD.finditer(data)):
-        if gone[k]:
-            out.append(data[at:last])
-            at = m.end()
-        last = m.end()
+        return text, hashlib.sha256(b" ".join(words)).hexdigest()
+    stay = b" ".join(compress(words, (~gone).tolist()))
+    data = text.encode()
+    held = np.frombuffer(data, np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = (held == 0x20) | ((held >= 0x09) & (held <= 0x0D))
+    ends = np.flatnonzero(space[1:] & ~space[:-1])  # of each word
+    turns = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()  # words where a run that goes begins or has ended
+    out, at = [], 0
+    for low, high in zip(turns[::2], turns[1::2]):
+        out.append(data[at : ends[low - 1] if low else 0])
+        at = ends[high - 1]
     out.append(data[at:])
     return b"".join(out).lstrip().decode(), hashlib.sha256(stay).hexdigest()
 

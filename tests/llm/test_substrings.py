@@ -105,3 +105,29 @@ def test_memory_does_not_grow_with_the_phrases_found(monkeypatch):
         tracemalloc.stop()
         assert all(g.all() for g in got)
     assert peaks[1] - peaks[0] < 60_000 * 60  # of 60,000 words more, at most 60 bytes each; a phrase found took over 100
+
+
+def test_windows_of_a_passage_share_patterns(monkeypatch):
+    """An automaton of one pattern for each window took as long to build as all documents took to search."""
+    built, made = [], substrings.ahocorasick.Automaton
+    monkeypatch.setattr(substrings.ahocorasick, "Automaton", lambda: built.append(made()) or built[-1])
+    words = [f"w{k}".encode() for k in range(640)]
+    passages = [(words[k : k + 64], 1) for k in range(0, 640, 64)]
+    docs = [words, words[5:18], [w for k in range(0, 640, 64) for w in [b"z", *words[k + 51 : k + 64]]], words[60:69]]
+    got = substrings.covered(docs, np.array([2, 3, 4, 5]), passages, 13, 7)
+    assert [int(g.sum()) for g in got] == [640, 13, 130, 0]
+    assert sum(map(len, built)) <= 640 / 7 + 1
+
+
+def test_cut_against_plain():
+    r = random.Random(1)
+    for _ in range(500):
+        text = "".join(r.choices("ab \t\n\x0b\x1c\x85\u3000é", k=r.randint(0, 30)))
+        words = text.encode().split()
+        gone = np.array([r.random() < 0.4 for _ in words], bool)
+        parts = re.findall("([\x20\x09-\x0d]*)([^\x20\x09-\x0d]+)", text)  # a word that goes takes the space before it
+        left = "".join(space + word for (space, word), g in zip(parts, gone) if not g)
+        tail = text[len(text.rstrip("\x20\t\n\x0b\x0c\r")) :]
+        want = (left + tail).lstrip("\x20\t\n\x0b\x0c\r") if gone.any() else text
+        kept = b" ".join(w for w, g in zip(words, gone) if not g)
+        assert substrings._cut(text, words, gone) == (want, hashlib.sha256(kept).hexdigest())
