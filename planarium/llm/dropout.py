@@ -25,7 +25,7 @@ from .common import arrow, prepare
 from .pieces import MARK, Pieces, load, marked, runs
 
 #: Runs that a worker remembers; the longest run whose agenda advances beside others; how many do at once; runs to a block.
-REMEMBERED, LONGEST, ABREAST, BLOCK = 400_000, 32, 8192, 1 << 17
+REMEMBERED, LONGEST, ABREAST, BLOCK = 100_000, 32, 8192, 1 << 17
 _NEVER = np.int32(2**31 - 1)
 #: Stands in for a mark that the text itself holds; no text can hold it.
 _OWN = "\ud800"

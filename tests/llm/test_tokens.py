@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -98,6 +99,19 @@ def test_blocks_and_memory_make_no_difference(model, monkeypatch):
     assert encoder.text("word1 word2", 4) and encoder.text(text, 5) == want and encoder.text(text, 5) == want
 
 
+def test_memory_of_runs_is_bounded(model):
+    """Words that never recur leave little behind: two workers and the JVM share an executor."""
+    encoder = dropout.Encoder(model, 0.1, 17)
+    tracemalloc.start()
+    try:
+        for at in range(0, 240_000, 10_000):
+            encoder.batch([" ".join(f"{k:x}" for k in range(at, at + 10_000))], [at])
+        held = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert held < 60, held
+
+
 def test_tables(spark, library):
     rows = [(i, t, i) for i, t in enumerate(TEXTS)] + [(None, "a b", 0), (3, None, 1), (4, "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
