@@ -23,7 +23,7 @@ from .pieces import MARK, load
 #: Letters to a word, words that a worker remembers, words side by side, share of probability spread over all pieces.
 LONGEST, REMEMBERED, ABREAST, SPREAD = 31, 200_000, 8192, 1e-3
 #: Languages side by side; numbers in a worker's table of words by language; what a share of a piece is counted in.
-TOGETHER, CELLS, GRAIN = 16, 4_000_000, 2**-12
+TOGETHER, CELLS, GRAIN = 16, 4_000_000, 2**-24
 #: What a character that is no piece counts in every language.
 UNKNOWN = 1e-7
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -97,7 +97,10 @@ class Lattice:
         return out
 
     def shares(self, words: list[str], times: np.ndarray) -> np.ndarray:
-        """By piece and column of times, how often the piece is expected when words occur that often."""
+        """By piece and column of times, how often the piece is expected when words occur that often.
+
+        A word's own share is rounded to grains, so sums over words are exact whatever they are dealt by.
+        """
         out = np.zeros((self.size + 2, times.shape[1]))
         weight = np.full(self.size + 2, 1 / self.size)
         weight[-1] = 0
@@ -111,7 +114,7 @@ class Lattice:
                 for m in range(1, min(n - i, len(found)) + 1):
                     backward[i] += backward[i + m] * weight[found[m - 1][:, i]]
             for m, piece in enumerate(found, 1):
-                share = (forward[: n - m + 1] * backward[m:] / forward[n]).T * weight[piece]
+                share = np.rint((forward[: n - m + 1] * backward[m:] / forward[n]).T * weight[piece] / GRAIN) * GRAIN
                 good = share > 0
                 for c in range(times.shape[1]):
                     out[:, c] += np.bincount(piece[good], (share * times[rows, c : c + 1])[good], self.size + 2)

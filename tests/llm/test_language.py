@@ -88,3 +88,9 @@ def test_order_of_rows_makes_no_difference(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
     one, two = language.learn(docs.repartition(1)), language.learn(docs.orderBy("text").repartition(5))
     assert one[0] == two[0] and np.allclose(one[1], two[1], rtol=1e-4)
+
+
+def test_tasks_make_no_difference(spark):
+    docs = spark.createDataFrame([(f"Haus Baum rare{chr(97 + k % 23)} und wort{chr(97 + k % 7)}", "de") for k in range(300)], "text string, lang string")
+    one, many = language.learn(docs.repartition(1)), language.learn(docs.repartition(40))
+    assert one[0] == many[0] and np.array_equal(one[1], many[1])
