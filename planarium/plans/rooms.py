@@ -33,8 +33,8 @@ from .scalars import _RING
     SELECT p_brand, p_type, i, j, inliers, {_f("even", 6)} AS uniformity FROM k WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY score DESC, i, j) = 1
 """)
 def even_line(part: DataFrame) -> DataFrame:
-    """The first line of each group by inliers and how evenly they lie; all pairs are tried."""
-    found = T.fit_lines(points(part), _KEYS, "id", "x", "y", 2.0, drawn=None, outliers=0.0).where("line = 0")
+    """The first line of each group by inliers and how evenly they lie, of all pairs; later lines are not sought."""
+    found = T.fit_lines(points(part), _KEYS, "id", "x", "y", 2.0, drawn=None, outliers=0.0, lines=1)
     return found.select(*_KEYS, "i", "j", "inliers", fixed("uniformity", 6).alias("uniformity"))
 
 

@@ -72,3 +72,37 @@ def test_lines_of_points_that_repeat(both, name, weights):
     mine, theirs = both(name)
     assert mine == theirs and len(mine) >= 150
     assert _cpu(weights) < 3
+
+
+def _plain(x, y, weights):
+    """The best line of all pairs, each judged in the order of equals."""
+    i, j = np.triu_indices(len(x), 1)
+    apart = np.hypot(x[j] - x[i], y[j] - y[i]) > 0
+    i, j = i[apart], j[apart]
+    votes, even, score = fitting._judged(x, y, np.ones(len(x), np.int64), i, j, len(x), 2.0, weights)
+    k = int(score.argmax())
+    return int(i[k]), int(j[k]), int(votes[k]), float(even[k]), float(score[k]) / 1e9
+
+
+@pytest.mark.parametrize("weights", [(1.0, 1.0), (1.0, 0.0)])
+def test_lines_of_points_that_differ(weights):
+    r = np.random.default_rng(4)
+    for wide, high, shift in ((50, 100, 0.0), (8, 20, 0.3), (6, 40, 1e6)):
+        for block in (1 << 20, 1 << 8):
+            x, y = r.integers(0, wide, 90).astype(float), r.integers(0, high * 10, 90) / 10 + shift
+            assert fitting._best_line(x, y, 2.0, weights, block=block) == _plain(x, y, weights)
+    x, y = r.normal(size=90) * 10, r.normal(size=90) * 10
+    assert fitting._best_line(x, y, 2.0, weights) == _plain(x, y, weights)
+    # five thousand places of fifty thousand: twelve million pairs, each of five thousand points
+    some = r.choice(50_000, 5000, replace=False)
+    start = time.process_time()
+    fitting._best_line(some % 50 + 1.0, some // 50 / 10, 2.0, weights)
+    assert time.process_time() - start < 4
+
+
+def test_only_as_many_lines_as_asked_for(spark):
+    rows = [(1, k, float(k % 10), float(k // 10)) for k in range(100)]
+    dots = spark.createDataFrame(rows, "k int, id int, x double, y double")
+    every = fitting.fit_lines(dots, ["k"], "id", "x", "y", 0.1, drawn=None, outliers=0.0).orderBy("line").collect()
+    assert len(every) > 2
+    assert fitting.fit_lines(dots, ["k"], "id", "x", "y", 0.1, drawn=None, outliers=0.0, lines=2).orderBy("line").collect() == every[:2]
